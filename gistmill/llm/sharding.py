@@ -5,11 +5,11 @@ capacities, and an arc's cost is what a byte costs to move (nothing where old
 and new shard are the same). Successive shortest paths solve the transport; the
 network has one node per shard, so it is small whatever the data.
 
-Each old shard's documents are laid out along a line of bytes in falling order
-of size class, then by a hash of the id; the flow cuts the line into what stays
-and the blocks that move. A document goes where its middle lies. As documents
-cannot be cut, a second solve on the outcome moves a few of the smallest ones
-to even out what is left.
+Each old shard's documents are laid out along a line of bytes, by a hash of the
+id; the flow cuts the line into what stays and the blocks that move. A document
+goes where its middle lies. As documents cannot be cut, shards come out uneven
+by parts of a document; further solves on the outcome, with the line in falling
+order of size class, move a few of the smallest ones to even that out.
 
 Defined cases: null texts have no bytes; null ids share a hash; rows that are
 equal throughout may change places; a null old shard is read as shard 0; an
@@ -75,7 +75,7 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def _once(rows: DataFrame, capacity: list[int], total_rows: int, move_cost=None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def _once(rows: DataFrame, capacity: list[int], total_rows: int, by_size: bool, move_cost=None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     spark = rows.sparkSession
     sizes = {r["shard"]: r["b"] for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()}  # a row per old shard
     plan = transfers(sizes, capacity, move_cost)
@@ -84,9 +84,9 @@ def _once(rows: DataFrame, capacity: list[int], total_rows: int, move_cost=None)
         lo = at.get(i, 0)
         at[i] = lo + b
         cuts.append((i, lo, lo + b, j))
-    # at most 128 classes of 1 to 8 hash blocks for each shard are broadcast, however many rows there are
-    place = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4).cast("int")
-    blocks = max(1, min(8, blocks_for(total_rows, 1, 8)))
+    # what is broadcast: at most 128 classes of 8 hash blocks, or 1024 blocks, for each shard, however many rows there are
+    place = (F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4) if by_size else F.lit(0)).cast("int")
+    blocks = blocks_for(total_rows, 1, 8) if by_size else blocks_for(total_rows, 16, 1024)
     line = prefix_sum(rows.withColumn("__class", -place), ["shard"], [F.col("__class"), hash_block(F.col("h"), blocks)], ["h", "doc_id", "crc"], "size", "__at")
     table = spark.createDataFrame(cuts, "shard int, lo long, hi long, new int")
     middle = F.col("__at") * 2 + F.col("size")
@@ -94,7 +94,7 @@ def _once(rows: DataFrame, capacity: list[int], total_rows: int, move_cost=None)
     return moved.select("doc_id", "size", "crc", "h", F.col("new").alias("shard")), plan
 
 
-def reshard(df: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 2, move_cost=None) -> DataFrame:
+def reshard(df: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 3, move_cost=None) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard, shard, slot): the new place of every row.
 
     ``size`` is the text's UTF-8 bytes plus 16; new capacities are even.
@@ -110,8 +110,8 @@ def reshard(df: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "d
     if not count:
         return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.lit(0).cast("long").alias("slot"))
     capacity = even(total, shards)
-    for _ in range(passes):
-        rows = cut(_once(rows, capacity, count, move_cost)[0], "shards")
+    for k in range(passes):
+        rows = cut(_once(rows, capacity, count, k > 0, move_cost)[0], "shards")
     ranked = prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 16))], ["h", "doc_id", "crc"], "__one", "slot")
     return ranked.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
