@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import packing, quality, sharding, simhash, token_counts, warc
+from gistmill.llm import chat, dedup_units, packing, quality, sharding, simhash, token_counts, warc
 from gistmill.llm._util import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, "text", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_units.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))  # so far a shard held whole sources
@@ -58,6 +66,8 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_chat": op4_chat,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
@@ -65,4 +75,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_packing": packing.oracle(),
+    "op4_chat": chat.oracle(),
 }

@@ -146,20 +146,15 @@ def links(fps: DataFrame, max_bucket: int = 50_000, small: int = 64) -> DataFram
             yield from flush(True)
 
     table = variants(fps)
-    hot = cut(table.groupBy("key").count().where(F.col("count") > max_bucket).select("key"), "hot") if _may_be_hot(fps, max_bucket) else None
+    hot = cut(table.groupBy("key").count().where(F.col("count") > max_bucket).select("key"), "hot")
     exact = None
-    if hot is not None and not hot.isEmpty():
+    if not hot.isEmpty():
         exact = _midpoint_links(table.join(hot, "key", "left_semi").select("fp").distinct())
         table = table.join(hot, "key", "left_anti")
     found = table.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
     return found if exact is None else found.union(exact)
 
 
-def _may_be_hot(fps: DataFrame, max_bucket: int) -> bool:
-    """A key can only be above the bound if there are so many fingerprints."""
-    return fps.limit(max_bucket + 1).count() > max_bucket
-
-
 def _midpoint_links(fps: DataFrame) -> DataFrame:
     """Exact links of any number of fingerprints: a star per point within two bit flips."""
     bit = [F.shiftleft(F.lit(1).cast("long"), b) for b in range(64)]
