@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import chat, dedup_units, packing, quality, sharding, simhash, token_counts, warc
+from gistmill.llm import chat, decontam, dedup_units, packing, pii, quality, sharding, simhash, token_counts, warc
 from gistmill.llm._util import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +57,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), *quality.BASE, "base_failed", "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Of the registered query and pipeline; real corpora take a secret one.
+KEY = b"a key for tests, not a secret"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -70,7 +82,9 @@ QUERIES: dict[str, Query] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
