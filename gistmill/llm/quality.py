@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmill.llm._util import cut
 from gistmill.llm.token_counts import _slices
@@ -77,24 +78,24 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """(id, group columns, the five counts, n_lines): one row per row of ``df``."""
-    kinds = [df.schema[c].dataType.simpleString() for c in (id_col, *group_cols)]
-    schema = ", ".join(f"{n} {k}" for n, k in zip(("id", *[f"g{i}" for i in range(len(group_cols))]), kinds, strict=True))
-    names = ["id", *[f"g{i}" for i in range(len(group_cols))]]
+def statistics(
+    df: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(id, group columns as g0.., carried columns, the five counts, n_lines): one row per row of ``df``."""
+    cols = ([df[id_col].alias("id")] if id_col else []) + [df[c].alias(f"g{i}") for i, c in enumerate(group_cols)] + [df[c] for c in carry]
+    rows = df.select(*cols, df[text_col].cast("string").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.LongType()) for c in (*BASE, "n_lines")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a, b in _slices(whole.column(whole.num_columns - 1)):
                 batch = whole.slice(a, b - a)
                 texts = batch.column(batch.num_columns - 1).to_pylist()
-                rows = [(*text_statistics(t), (t or "").count("\n") + 1) for t in texts]
-                cols = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*names, *BASE, "n_lines"])
+                found = [(*text_statistics(t), (t or "").count("\n") + 1) for t in texts]
+                counts = [pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], names=schema.names)
 
-    cols = [df[c].alias(n) for c, n in zip((id_col, *group_cols), names, strict=True)]
-    longs = ", ".join(f"{c} long" for c in (*BASE, "n_lines"))
-    return df.select(*cols, df[text_col].cast("string").alias("text")).mapInArrow(run, f"{schema}, {longs}")
+    return rows.mapInArrow(run, schema)
 
 
 def transformed(rows: DataFrame) -> DataFrame:
@@ -190,28 +191,60 @@ def models(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
     return cut(model.join(middle, "grp").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / CHI2_MEDIAN)), "model")
 
 
-def judge(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    min_group: int = 200, share: float = 0.75, cutoff: float = CHI2_CUT,
-) -> DataFrame:
-    """(id, BASE, base_failed, d2, kept): the verdict on every row of ``df``."""
-    rows = cut(transformed(statistics(df, id_col, text_col, (lang_col, source_col))), "statistics")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    fit = rows.where(~F.col("base_failed"))
+def _failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def fitted(rows: DataFrame, min_group: int = 200, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Group names (h0, h1, grp) and models (grp, mean, inverse, scale) for ``rows(g0, g1, BASE, n_lines)``."""
+    fit = transformed(rows).where(~_failed())
     size = fit.groupBy("g0", "g1").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < min_group
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))  # noqa: E731  null differs from any value
-    by_lang = Window.partitionBy("g0")
-    pooled = F.sum(F.when(small, F.col("n")).otherwise(0)).over(by_lang)
+    pooled = F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("g0"))
     names = (
         size.withColumn("in_lang", pooled)
         .withColumn("grp", F.when(~small, F.concat_ws("/", F.lit("ls"), text("g0"), text("g1"))).when(F.col("in_lang") >= min_group, F.concat_ws("/", F.lit("l"), text("g0"))).otherwise("all"))
         .select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), "grp")
     )
     names = cut(names, "groups")
-    x = fit.join(names, F.col("g0").eqNullSafe(F.col("h0")) & F.col("g1").eqNullSafe(F.col("h1"))).select("grp", *X)
-    model = models(cut(x, "fit"), share).where(F.col("n") >= min_group).select("grp", "mean", "inverse", "scale")
-    named = rows.join(names, F.col("g0").eqNullSafe(F.col("h0")) & F.col("g1").eqNullSafe(F.col("h1")), "left")
-    far = _distance(named.join(model, "grp", "left")).withColumn("d2", F.col("d2") / F.col("scale"))
-    return far.select("id", *BASE, "base_failed", "d2", (~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))).alias("kept"))
+    x = cut(_named(fit, names, "inner").select("grp", *X), "fit")
+    return names, models(x, share).where(F.col("n") >= min_group).select("grp", "mean", "inverse", "scale")
+
+
+def _named(rows: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    return rows.join(names, F.col("g0").eqNullSafe(F.col("h0")) & F.col("g1").eqNullSafe(F.col("h1")), how)
+
+
+def _verdict(rows: DataFrame, names: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
+    """Adds base_failed, d2 and kept."""
+    far = _distance(_named(transformed(rows), names, "left").join(model, "grp", "left")).withColumn("d2", F.col("d2") / F.col("scale"))
+    return far.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False)))
+
+
+def judge(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    min_group: int = 200, share: float = 0.75, cutoff: float = CHI2_CUT,
+) -> DataFrame:
+    """(id, BASE, base_failed, d2, kept): the verdict on every row of ``df``."""
+    rows = cut(statistics(df, id_col, text_col, (lang_col, source_col)), "statistics")
+    return _verdict(rows, *fitted(rows, min_group, share), cutoff).select("id", *BASE, "base_failed", "d2", "kept")
+
+
+def keep_good(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    min_group: int = 200, share: float = 0.75, cutoff: float = CHI2_CUT,
+) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns.
+
+    Counts twice, once to fit and once to filter, so that texts are never
+    shuffled; the fitted table has a row per group and is joined as the planner
+    sees fit for its measured size.
+    """
+    fit = cut(statistics(df.withColumn("__id", F.lit(0)), "__id", text_col, (lang_col, source_col)).drop("id"), "statistics")
+    names, model = fitted(fit, min_group, share)
+    inner = {c: f"__c{i}" for i, c in enumerate(df.columns)}  # whatever the columns are called
+    back = {v: k for k, v in inner.items()}
+    rows = df.withColumnsRenamed(inner).withColumn("__text", F.col(inner[text_col]).cast("string"))
+    counted = statistics(rows, None, "__text", (inner[lang_col], inner[source_col]), tuple(back))
+    return _verdict(counted, names, model, cutoff).where("kept").select(*back).withColumnsRenamed(back)
