@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from gistmill.llm._util import cut
+from gistmill.llm._util import cut, small_batches
 from gistmill.llm.token_counts import _slices
 
 #: A sentence, with its closing marks; white space around it is left out.
@@ -95,7 +95,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``first_id`` and ``first_start`` name the occurrence that stays of the
     span's first unit.
     """
-    table = cut(units(docs, id_col, text_col, min_words), "units")
+    with small_batches(docs.sparkSession):
+        table = cut(units(docs, id_col, text_col, min_words), "units")
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("start").alias("start"))
     same = table.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
     gone = (
