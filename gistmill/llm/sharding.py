@@ -86,7 +86,7 @@ def _once(rows: DataFrame, capacity: list[int], total_rows: int, by_size: bool,
         cuts.append((i, lo, lo + b, j))
     # what is broadcast: at most 128 classes of 8 hash blocks, or 1024 blocks, for each shard, however many rows there are
     place = (F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4) if by_size else F.lit(0)).cast("int")
-    blocks = blocks_for(total_rows, 1, 8) if by_size else blocks_for(total_rows, 16, 1024)
+    blocks = blocks_for(total_rows, 1, 8) if by_size else blocks_for(total_rows, 256, 1024)
     line = prefix_sum(rows.withColumn("__class", -place), ["shard"], [F.col("__class"), hash_block(F.col("h"), blocks)], ["h", "doc_id", "crc"], "size", "__at")
     table = spark.createDataFrame(cuts, "shard int, lo long, hi long, new int")
     middle = F.col("__at") * 2 + F.col("size")
@@ -112,7 +112,7 @@ def reshard(df: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "d
     capacity = even(total, shards)
     for k in range(passes):
         rows = cut(_once(rows, capacity, count, k > 0, move_cost)[0], "shards")
-    ranked = prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 16))], ["h", "doc_id", "crc"], "__one", "slot")
+    ranked = prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 64))], ["h", "doc_id", "crc"], "__one", "slot")
     return ranked.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
