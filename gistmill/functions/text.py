@@ -13,6 +13,11 @@ from gistmill.functions import patterns as P
 from gistmill.options import LANGUAGE_TYPES, TOOL_TYPES
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda a repeated expression is computed anew for every item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def count_tokens(text: Column) -> Column:
     """A fourth of the characters, rounded up; 0 for null and empty texts."""
     n = F.length(text)
@@ -84,10 +89,13 @@ CUT = "\x01"
 def sentences(text: Column) -> Column:
     """array<struct<text, trailing>>: sentences in order, with what separates each from the next."""
     marked = F.regexp_replace(text, P.SENTENCE_END, f"$1{CUT}$2$3{CUT}")
-    parts = F.split(marked, CUT, -1)
-    paired = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int")), lambda i: F.struct(
-        trim(F.get(parts, i * 2)).alias("text"), F.coalesce(F.get(parts, i * 2 + 1), F.lit("")).alias("trailing")))
-    return F.filter(paired, lambda s: F.length(s["text"]) > 0)
+
+    def paired(parts: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int"))
+        each = F.transform(places, lambda i: F.struct(trim(F.get(parts, i * 2)).alias("text"), F.coalesce(F.get(parts, i * 2 + 1), F.lit("")).alias("trailing")))
+        return F.filter(each, lambda s: F.length(s["text"]) > 0)
+
+    return let(F.split(marked, CUT, -1), paired)
 
 
 def reassemble(kept: Column) -> Column:
@@ -142,36 +150,47 @@ def detect(text: Column, json_test=is_json) -> Column:
     sees null. Pass ``json_test=None`` to do without.
     """
     body = trim(F.coalesce(text, F.lit("")))
-    maybe = body.startswith("[") | body.startswith("{")
-    is_it = F.coalesce(json_test(F.when(maybe, body)), F.lit(False)) if json_test is not None else F.lit(False)
-    head, sample_ = F.substring(body, 1, 2000), F.substring(body, 1, 3000)
-    marks = sum((F.when(head.rlike(m), 1).otherwise(0) for m in P.DIFF_MARKS), F.lit(0))
-    doctype, root, tags = sample_.rlike(P.HTML_DOCTYPE), sample_.rlike(P.HTML_ROOT), matches(sample_, P.HTML_TAG)
-    html = F.when(doctype, 0.5).otherwise(0.0) + F.when(root, 0.3).otherwise(0.0) + F.least(F.lit(0.6), tags * 0.1)
-    rows = lines(body)
-    first50 = F.transform(F.slice(rows, 1, 50), trim)
-    raw50 = F.slice(rows, 1, 50)
-    speaking = F.filter(first50, lambda x: x.rlike(P.SPEAKER))
-    names = F.array_distinct(F.transform(speaking, lambda x: F.lower(F.concat(*[F.regexp_extract(x, P.SPEAKER, g) for g in (1, 2, 3)]))))
-    many = (F.size(speaking) / F.size(first50) > 0.3) & (F.size(names) >= 3)
-    strong = F.exists(first50, lambda x: x.rlike(P.STRONG_SPEAKER))
-    log_share = fraction(raw50, lambda x: x.rlike(P.LOG_LINE))
-    search_share = fraction(F.transform(F.slice(rows, 1, 30), trim), lambda x: x.rlike(P.SEARCH_LINE))
-    full = F.filter(rows, lambda x: F.length(trim(x)) > 0)
-    code_share = fraction(full, lambda x: F.regexp_replace(x, f"^{P.WS}+", "").rlike(P.CODE_LINE))
     none = F.create_map().cast("map<string,string>")
 
     def found(kind: str, confidence: Column, metadata: Column = none) -> Column:
         return F.struct(F.lit(kind).alias("type"), F.least(F.lit(1.0), confidence).alias("confidence"), metadata.alias("metadata"))
 
-    return (
-        F.when(F.length(body) == 0, found("text", F.lit(0.0)))
-        .when(is_it, found("json", F.lit(1.0), F.create_map(F.lit("isArray"), body.startswith("[").cast("string"))))
-        .when(marks >= 2, found("diff", 0.5 + marks * 0.15, F.create_map(F.lit("markers"), marks.cast("string"))))
-        .when((doctype | root | (tags >= 3)) & (html >= 0.5), found("html", html, F.create_map(F.lit("structuralTags"), tags.cast("string"))))
-        .when(many | strong, found("conversation", F.when(many, 0.85).otherwise(0.65), F.create_map(F.lit("speakers"), F.array_join(names, ","))))
-        .when(log_share > 0.3, found("logs", 0.4 + log_share * 0.6))
-        .when(search_share > 0.3, found("search", 0.4 + search_share * 0.6))
-        .when(code_share > 0.2, found("code", 0.4 + code_share * 0.6))
-        .otherwise(found("text", F.lit(0.5)))
-    )
+    def by_lines(rows: Column, first50: Column) -> Column:
+        raw50 = F.slice(rows, 1, 50)
+        log_share = fraction(raw50, lambda x: x.rlike(P.LOG_LINE))
+        search_share = fraction(F.slice(first50, 1, 30), lambda x: x.rlike(P.SEARCH_LINE))
+        full = F.filter(rows, lambda x: x.rlike(P.NON_WS))
+        code_share = fraction(full, lambda x: F.regexp_replace(x, f"^{P.WS}+", "").rlike(P.CODE_LINE))
+        rest = let(code_share, lambda c: F.when(c > 0.2, found("code", 0.4 + c * 0.6)).otherwise(found("text", F.lit(0.5))))
+        rest = let(search_share, lambda c: F.when(c > 0.3, found("search", 0.4 + c * 0.6)).otherwise(rest))
+        rest = let(log_share, lambda c: F.when(c > 0.3, found("logs", 0.4 + c * 0.6)).otherwise(rest))
+        names = lambda said: F.array_distinct(F.transform(said, lambda x: F.lower(F.concat(*[F.regexp_extract(x, P.SPEAKER, g) for g in (1, 2, 3)]))))
+        strong = F.exists(first50, lambda x: x.rlike(P.STRONG_SPEAKER))
+
+        def by_speakers(x: Column) -> Column:
+            many = (F.size(x["said"]) / F.size(first50) > 0.3) & (F.size(x["names"]) >= 3)
+            return F.when(many | strong, found("conversation", F.when(many, 0.85).otherwise(0.65), F.create_map(F.lit("speakers"), F.array_join(x["names"], ",")))).otherwise(rest)
+
+        spoken = F.filter(first50, lambda x: x.rlike(P.SPEAKER))
+        return let(let(spoken, lambda said: F.struct(said.alias("said"), names(said).alias("names"))), by_speakers)
+
+    def by_marks(b: Column) -> Column:
+        head, start = F.substring(b, 1, 2000), F.substring(b, 1, 3000)
+        doctype, root = start.rlike(P.HTML_DOCTYPE), start.rlike(P.HTML_ROOT)
+        marks = sum((F.when(head.rlike(m), 1).otherwise(0) for m in P.DIFF_MARKS), F.lit(0))
+        rest = let(F.split(b, "\n", -1), lambda rows: let(F.transform(F.slice(rows, 1, 50), trim), lambda first: by_lines(rows, first)))
+
+        def by_tags(tags: Column) -> Column:
+            html = F.when(doctype, 0.5).otherwise(0.0) + F.when(root, 0.3).otherwise(0.0) + F.least(F.lit(0.6), tags * 0.1)
+            return F.when((doctype | root | (tags >= 3)) & (html >= 0.5), found("html", html, F.create_map(F.lit("structuralTags"), tags.cast("string")))).otherwise(rest)
+
+        rest2 = let(matches(start, P.HTML_TAG), by_tags)
+        return F.when(F.length(b) == 0, found("text", F.lit(0.0))).otherwise(
+            let(marks, lambda n: F.when(n >= 2, found("diff", 0.5 + n * 0.15, F.create_map(F.lit("markers"), n.cast("string")))).otherwise(rest2))
+        )
+
+    if json_test is None:
+        return let(body, by_marks)
+    maybe = body.startswith("[") | body.startswith("{")
+    is_it = F.coalesce(json_test(F.when(maybe, body)), F.lit(False))
+    return F.when(is_it, found("json", F.lit(1.0), F.create_map(F.lit("isArray"), body.startswith("[").cast("string")))).otherwise(let(body, by_marks))

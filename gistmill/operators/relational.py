@@ -106,18 +106,19 @@ def strip_code(text: Column) -> Column:
     def build(no_block: Column, source: Column) -> Column:
         rest = F.regexp_replace(no_block, R.DOCSTRING, "")
         mark = lambda x: X.trim(x).startswith("//") | X.trim(x).startswith("#") | X.trim(x).startswith("--")
-        rows = X.lines(rest)
-        bare = F.array_join(F.filter(rows, lambda x: ~mark(x)), "\n")
-        squeezed = F.regexp_replace(bare, R.BLANK_RUN, "\n\n")
-        runs = F.regexp_extract_all(bare, F.lit(R.BLANK_RUN), F.lit(0))
-        return F.struct(
-            F.regexp_replace(F.regexp_replace(squeezed, "^\n+", ""), "\n{3,}", "\n\n").alias("text"),
-            (X.lines_of_matches(source, R.BLOCK_COMMENT) + X.lines_of_matches(no_block, R.DOCSTRING)).alias("blocks"),
-            F.size(F.filter(rows, mark)).alias("comments"),
-            F.aggregate(runs, F.lit(0), lambda n, r: n + F.greatest(F.lit(0), X.count_lines(r) - 2)).alias("blanks"),
-        )
-
-    return build(F.regexp_replace(text, R.BLOCK_COMMENT, ""), text)
+        blocks = X.lines_of_matches(source, R.BLOCK_COMMENT) + X.lines_of_matches(no_block, R.DOCSTRING)
+
+        def finish(rows: Column, bare: Column) -> Column:
+            squeezed = F.regexp_replace(bare, R.BLANK_RUN, "\n\n")
+            runs = F.regexp_extract_all(bare, F.lit(R.BLANK_RUN), F.lit(0))
+            return F.struct(
+                F.regexp_replace(F.regexp_replace(squeezed, "^\n+", ""), "\n{3,}", "\n\n").alias("text"), blocks.alias("blocks"), F.size(F.filter(rows, mark)).alias("comments"),
+                F.aggregate(runs, F.lit(0), lambda n, r: n + F.greatest(F.lit(0), X.count_lines(r) - 2)).alias("blanks"),
+            )
+
+        return X.let(X.lines(rest), lambda rows: X.let(F.array_join(F.filter(rows, lambda x: ~mark(x)), "\n"), lambda bare: finish(rows, bare)))
+
+    return X.let(F.regexp_replace(text, R.BLOCK_COMMENT, ""), lambda no_block: build(no_block, text))
 
 
 def html_stages(df: DataFrame, html_col: str) -> DataFrame:
