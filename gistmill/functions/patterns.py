@@ -9,6 +9,8 @@ from __future__ import annotations
 
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 WS_SET = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+#: The same characters, for trimming.
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{WS_SET}]"
 NON_WS = f"[^{WS_SET}]"
 END = "(?![\\s\\S])"
@@ -45,16 +47,15 @@ LOG_VOLATILE = (
     ("[0-9]+", "<N>"),
 )
 
-# What makes a sentence worth keeping.
-IMPORTANT = (
-    "[$₹€£¥]" + WS + "*[0-9,.]+",
+# What makes a sentence worth keeping: sums, then figures (all hold a digit), questions, and words of consequence.
+MONEY = "[$₹€£¥]" + WS + "*[0-9,.]+"
+FIGURES = (
     "[0-9]+(?:\\.[0-9]+)?%",
     f"{B}v?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?{E}",
     f"(?i){B}[0-9]+(?:\\.[0-9]+)?{WS}*(?:kg|lbs|kcal|g|mg|cm|mm|reps|sets|sec|min|hrs?|km|m){E}",
     f"{B}[0-9]{{3,}}{E}",
-    "\\?",
-    f"(?i){B}(?:error|errors|failed|fail|failure|warning|warn|critical|must|never|decided|decide|requires|require|cannot|important|note|caution|deprecated|breaking|null|undefined|exception|crash|security|vulnerability){E}",
 )
+CONSEQUENCE = f"(?i){B}(?=[bcdefimnrsuvw])(?:error|errors|failed|fail|failure|warning|warn|critical|must|never|decided|decide|requires|require|cannot|important|note|caution|deprecated|breaking|null|undefined|exception|crash|security|vulnerability){E}"
 
 # Words without content.
 STOPWORDS = """

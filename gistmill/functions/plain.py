@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 from gistmill.functions import patterns as P
@@ -16,10 +18,11 @@ def rx(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
-SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACES = P.SPACES
 _RUN = re.compile(f"{P.WS}+")
 _SENTENCE_END = re.compile(P.SENTENCE_END)
 _NON_WORD = re.compile(f"[^a-z0-9{P.WS_SET}]")
+_CONSEQUENCE, _MONEY, _DIGIT, _FIGURES = re.compile(P.CONSEQUENCE), re.compile(P.MONEY), re.compile("[0-9]"), [re.compile(p) for p in P.FIGURES]
 _STOP = frozenset(P.STOPWORDS)
 
 
@@ -41,7 +44,9 @@ def is_json(text: str) -> bool:
 
 
 def important(text: str) -> bool:
-    return any(rx(p).search(text) for p in P.IMPORTANT)
+    if "?" in text or _CONSEQUENCE.search(text) or _MONEY.search(text):
+        return True
+    return bool(_DIGIT.search(text)) and any(p.search(text) for p in _FIGURES)
 
 
 def log_template(line: str) -> str:
@@ -84,16 +89,14 @@ def reassemble(kept: list[Sentence]) -> str:
 
 def tfidf(words: list[list[str]]) -> list[float]:
     """Score of each sentence: sum of count^2 ln(N / df) over the square of its content words' number."""
-    seen: dict[str, int] = {}
-    for w in words:
-        for t in dict.fromkeys(w):
-            seen[t] = seen.get(t, 0) + 1
+    counts = [Counter(w) for w in words]  # in order of first occurrence
+    seen = Counter(chain.from_iterable(counts))
+    rarity = {t: math.log(len(words) / n) for t, n in seen.items()}
     out = []
-    for w in words:
-        total = 0.0
-        for t in dict.fromkeys(w):
-            c = w.count(t)
-            total += c / len(w) * math.log(len(words) / seen[t]) * c
+    for w, count in zip(words, counts, strict=True):
+        total = 0.0  # added one by one: sum() would compensate, and ties would fall otherwise
+        for t, c in count.items():
+            total += c / len(w) * rarity[t] * c
         out.append(total / len(w) if w else 0.0)
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,7 +27,7 @@ def count_tokens(text: Column) -> Column:
 
 def trim(text: Column) -> Column:
     """Without white space (Unicode, and byte order marks) at both ends."""
-    return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+{P.END}", "")
+    return F.btrim(text, F.lit(P.SPACES))
 
 
 def sample(text: Column, most: int = 80) -> Column:
@@ -59,10 +60,8 @@ def fraction(items: Column, test) -> Column:
 
 def important(text: Column) -> Column:
     """Whether a sentence carries figures, questions or words of consequence."""
-    out = F.lit(False)
-    for p in P.IMPORTANT:
-        out = out | text.rlike(p)
-    return out
+    figures = reduce(lambda a, b: a | b, [text.rlike(p) for p in P.FIGURES])
+    return text.contains("?") | text.rlike(P.CONSEQUENCE) | text.rlike(P.MONEY) | (text.rlike("[0-9]") & figures)
 
 
 def log_template(line: Column) -> Column:
@@ -160,7 +159,7 @@ def detect(text: Column, json_test=is_json) -> Column:
         log_share = fraction(raw50, lambda x: x.rlike(P.LOG_LINE))
         search_share = fraction(F.slice(first50, 1, 30), lambda x: x.rlike(P.SEARCH_LINE))
         full = F.filter(rows, lambda x: x.rlike(P.NON_WS))
-        code_share = fraction(full, lambda x: F.regexp_replace(x, f"^{P.WS}+", "").rlike(P.CODE_LINE))
+        code_share = fraction(full, lambda x: F.ltrim(x, F.lit(P.SPACES)).rlike(P.CODE_LINE))
         rest = let(code_share, lambda c: F.when(c > 0.2, found("code", 0.4 + c * 0.6)).otherwise(found("text", F.lit(0.5))))
         rest = let(search_share, lambda c: F.when(c > 0.3, found("search", 0.4 + c * 0.6)).otherwise(rest))
         rest = let(log_share, lambda c: F.when(c > 0.3, found("logs", 0.4 + c * 0.6)).otherwise(rest))

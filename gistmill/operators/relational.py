@@ -176,18 +176,19 @@ def explode_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def score_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, idx, sentence, separator, tokens, tfidf, boosted, score, n_sentences, total_tokens).
 
-    Document frequencies are a window over (document, term) after counting terms
-    per sentence, so terms are shuffled once and no join is needed.
+    Documents are shuffled once, whole, by their id: counting terms per sentence
+    and per document, adding up and ranking all work on that partitioning, so
+    the many more rows of terms never move.
     """
-    rows = df.select(id_col, X.count_tokens(F.col(text_col)).alias("total_tokens"), F.posexplode(X.sentences(F.col(text_col))).alias("idx", "s"))
+    rows = df.select(id_col, text_col).repartition(id_col).select(id_col, X.count_tokens(F.col(text_col)).alias("total_tokens"), F.posexplode(X.sentences(F.col(text_col))).alias("idx", "s"))
     rows = rows.select(id_col, "total_tokens", "idx", F.col("s.text").alias("sentence"), F.col("s.trailing").alias("separator"), X.content_words(F.col("s.text")).alias("words"))
     rows = rows.withColumn("n_sentences", F.count(F.lit(1)).over(_doc(id_col)))
     terms = rows.select(id_col, "idx", "n_sentences", F.size("words").alias("length"), F.explode("words").alias("term"))
     tf = terms.groupBy(id_col, "term", "idx", "n_sentences", "length").agg(F.count(F.lit(1)).alias("c"))
     tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(id_col, "term")))
     part = F.col("c") * F.col("c") * F.log(F.col("n_sentences") / F.col("df")) / (F.col("length") * F.col("length"))
-    # floats are summed in a fixed order, so that equal scores are equal
-    score = tf.groupBy(id_col, "idx").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("term", part.alias("p")))), F.lit(0.0), lambda a, x: a + x["p"]).alias("tfidf"))
+    # rounded, as the order of addition is open
+    score = tf.groupBy(id_col, "idx").agg(F.round(F.sum(part), 12).alias("tfidf"))
     out = rows.join(score, [id_col, "idx"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
     boosted = X.important(F.col("sentence"))
     return out.withColumn("tokens", X.count_tokens(F.col("sentence"))).withColumn("boosted", boosted).withColumn("score", F.round(F.col("tfidf") * F.when(F.col("boosted"), 1.4).otherwise(1.0), 9)).drop("words")

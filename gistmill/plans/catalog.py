@@ -477,7 +477,7 @@ def doc_freq(spark, sf_dir):
 SCORED_SQL = f"""
 SELECT s.*, tfidf, boosted, round(tfidf * CASE WHEN boosted THEN 1.4 ELSE 1.0 END, 9) AS score FROM (
 SELECT s.*, {TOK('sentence')} AS tokens, coalesce(t.tfidf, 0.0) AS tfidf, regexp_matches(sentence, {_q(RE_IMPORTANT)}) AS boosted FROM ({SENT_SQL}) s
-LEFT JOIN (SELECT doc_id, idx, list_sum(list(c * c * ln(n_sentences / df) / (length * length) ORDER BY term)) AS tfidf FROM ({TF_SQL}) GROUP BY doc_id, idx) t USING (doc_id, idx)) s
+LEFT JOIN (SELECT doc_id, idx, round(sum(c * c * ln(n_sentences / df) / (length * length)), 12) AS tfidf FROM ({TF_SQL}) GROUP BY doc_id, idx) t USING (doc_id, idx)) s
 """
 
 

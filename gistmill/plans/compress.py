@@ -58,21 +58,30 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "detection") -> Dat
     return df.withColumn(out, X.detect(F.col(text_col)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has slots, for per-document work on small inputs.
+
+    Inputs that already are (all large ones) are left as they are: texts are not shuffled for nothing.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def compress(df: DataFrame, text_col: str = "text", options: Options = Options(), tool_col: str | None = None, out: str = "result") -> DataFrame:
     """Adds the result record; ``tool_col`` names the tool that made each text, where known."""
     tool = F.col(tool_col).cast("string") if tool_col else F.lit(None).cast("string")
-    return df.withColumn(out, compress_udf(options)(F.col(text_col).cast("string"), tool))
+    return spread(df).withColumn(out, compress_udf(options)(F.col(text_col).cast("string"), tool))
 
 
 def compress_known(df: DataFrame, text_col: str, type_col: str | Column, options: Options = Options(), out: str = "result") -> DataFrame:
     """Adds the result record for texts of known type, without detection."""
     kind = F.col(type_col) if isinstance(type_col, str) else type_col
-    return df.withColumn(out, compress_as_udf(options)(F.col(text_col).cast("string"), kind, F.lit(1.0)))
+    return spread(df).withColumn(out, compress_as_udf(options)(F.col(text_col).cast("string"), kind, F.lit(1.0)))
 
 
 def segment_and_compress(df: DataFrame, text_col: str = "text", options: Options = Options(), out: str = "result") -> DataFrame:
     """Adds the segmented result record of mixed documents."""
-    return df.withColumn(out, segment_udf(options)(F.col(text_col).cast("string")))
+    return spread(df).withColumn(out, segment_udf(options)(F.col(text_col).cast("string")))
 
 
 def compress_messages(
