@@ -122,4 +122,4 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     keep_from = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_here, lambda s: s["end"]))
     keep_to = F.concat(F.transform(spans_here, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     kept = F.transform(F.arrays_zip(keep_from.alias("a"), keep_to.alias("b")), lambda x: F.substring(text, x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")))
-    return rows.withColumn(text_col, F.array_join(kept, "")).withColumn("removed", spans_here)
+    return rows.withColumn(text_col, F.when(text.isNotNull(), F.array_join(kept, ""))).withColumn("removed", spans_here)

@@ -1,0 +1,87 @@
+import re
+
+import pytest
+from gistmill.llm import pii
+from gistmill.llm.queries import QUERIES
+from pyspark.sql import functions as F
+
+KEY = b"k"
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(x if i % 2 == 0 else x * 2 % 10 + x // 5 for i, x in enumerate(d)) % 10 == 0
+
+
+def shape(s):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
+
+
+def replaced(spark, texts, key=KEY):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r["doc_id"]: r["text"] for r in pii.replace_pii(df, key).collect()}
+
+
+def test_formats(spark):
+    texts = ["call +1 (017) 555-7713 or +1 017-555-7713 now", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### 4785380592391139$$$', "4111 1111 1111 1111 and 4111-1111-1111-1111", "IBAN DE89 3704 0044 0532 0130 00 ssn 123-45-6789", "152.143.123.131###", "a.b@mail7.example.com"]
+    got = replaced(spark, texts)
+    for i in (0, 1, 2, 3):
+        assert shape(got[i]) == shape(texts[i]) and got[i] != texts[i]
+    a, b = re.findall(r"\+1 .*?\d{4}", got[0])
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)  # one number, two formats
+    one, two = got[2].split(" and ")
+    assert luhn(texts[2].split(" and ")[0]) and luhn(one) and re.sub(r"\D", "", one) == re.sub(r"\D", "", two)
+    assert re.fullmatch(r"[0-9a-f]{40}", re.search('"(.*)"', got[1])[1]) and got[3].startswith("IBAN DE")
+    assert all(1 <= int(o) <= 254 for o in got[4].rstrip("#").split(".")) and got[5].endswith(".example.com") and got[5].index("@") == 3
+    assert replaced(spark, texts, b"other") != got and replaced(spark, texts) == got
+
+
+def test_names(spark):
+    texts = ["Mr. John Smith met Mrs Mary Smith. Smith said John was late, and JOHN left.", "Dr Иван Петров und Frau Анна Петров.", "Κύριος Νίκος Παππάς", "John and Smith without a title stay."]
+    got = replaced(spark, texts)
+    words = re.findall(r"\w+", got[0])
+    john, smith, mary = words[1], words[2], words[5]
+    assert words[6] == smith and words[7] == smith and words[9] == john and words[13] == john.upper()
+    assert john.endswith("n") and mary.endswith("a") and smith.endswith("r") and not {"John", "Smith", "Mary"} & set(words)
+    assert re.search(r"Dr [А-Яа-я]+ [А-Яа-я]+ und Frau [А-Яа-я]+а [А-Яа-я]+\.", got[1]) and re.fullmatch(r"Κύριος [Α-Ωα-ω]+ν [Α-Ωα-ω]+", got[2]) and got[3] == texts[3]
+
+
+def test_clean_text_and_odd_rows(spark):
+    same = ["v4.0 of 2024-01-02 12:30:55 costs 1,000,000 or 3.14159265358979", "", None, "plain", "version 1.2.3.4.5 and 10.0.0.999", "my secret is safe", "a@b"]
+    assert list(replaced(spark, same).values()) == same
+    df = spark.createDataFrame([(1, "x@y.example.org", "k"), (1, "x@y.example.org", "k"), (None, None, None)], "doc_id int, text string, __k string")
+    out = pii.replace_pii(df, KEY)
+    assert out.columns == ["doc_id", "text", "__k", "n_entities"] and sorted(r["n_entities"] for r in out.collect()) == [0, 1, 1]
+    assert pii.replace_pii(df.limit(0), KEY).count() == 0
+    assert "�" in replaced(spark, ["a ﷐ x@y.example.org"])[0]
+    with pytest.raises(ValueError, match="n_entities"):
+        pii.replace_pii(df.withColumn("n_entities", F.lit(1)), KEY)
+
+
+def test_distinct_values_stay_distinct(spark):
+    """5,000 octet-like values in a small space: some collide at first, none in the end."""
+    texts = [f"{i // 250 % 250 + 1}.{i % 250 + 1}.7.9" for i in range(5000)] + [f"{i:03d}-{i % 90 + 10}-{i:04d}" for i in range(300)]
+    got = replaced(spark, texts)
+    assert len(set(got.values())) == len(set(texts)) and not set(got.values()) & set(texts)
+
+
+def test_collisions_are_resolved(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_drawn", lambda kind, value, stream, key: F.concat(F.lit("s"), F.conv(F.substring(stream, 1, 2), 16, 10), F.lit("@x.example.com")))
+    texts = [f"user{i}@mail.example.org" for i in range(60)]
+    got = replaced(spark, texts)
+    assert len(set(got.values())) == 60 and all(t.endswith("@x.example.com") for t in got.values())
+
+
+def test_query(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    df = QUERIES["op10_pii"](spark, sf)
+    assert not any(w in df._jdf.queryExecution().toString() for w in ("Python", "Pandas", "MapInArrow"))
+    private = re.compile(r"[\w.]+@[\w.]+\w|(?<!\w)\d{16}(?!\w)|\+\d \(\d{3}\) \d{3}-\d{4}|(?<![\w.])(?:\d+\.){3}\d+(?![\w.])|[a-fA-F0-9]{40}")
+    seen = 0
+    for r in df.collect():
+        found = private.findall(docs[r["doc_id"]])
+        seen += len(found)
+        assert r["n_entities"] == len(found) and not any(x in r["text"] for x in found)
+        if not found:
+            assert r["text"] == docs[r["doc_id"]]
+    assert seen
