@@ -53,7 +53,7 @@ def _number(x: float) -> str:
     e = int(exponent)
     digits = mantissa.replace(".", "").replace("-", "")
     sign = "-" if x < 0 else ""
-    if -7 <= e < 0:
+    if -7 < e < 0:
         return f"{sign}0.{'0' * (-e - 1)}{digits}"
     return f"{mantissa}e{e:+d}"
 
