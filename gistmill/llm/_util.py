@@ -53,6 +53,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """``df`` under column names that no helper column can clash with; the names by old name, and back."""
+    inner = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*inner.values()), inner, {v: k for k, v in inner.items()}
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of so many rows, for what is computed inside: whole texts in the default 10,000 rows take much memory."""

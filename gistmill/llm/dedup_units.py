@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from gistmill.llm._util import cut, small_batches
+from gistmill.llm._util import cut, masked, small_batches
 from gistmill.llm.token_counts import _slices
 
 #: A sentence, with its closing marks; white space around it is left out.
@@ -115,11 +115,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of the text, and the spans as ``removed`` (array of start, end)."""
-    per = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    rows = docs.join(per.withColumnRenamed("id", "__id"), docs[id_col].eqNullSafe(F.col("__id")), "left").drop("__id")
-    text, none = docs[text_col], F.array().cast("array<struct<start:bigint,end:bigint>>")
+    per = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")).withColumnRenamed("id", "__id")
+    rows, inner, back = masked(docs)
+    rows = rows.join(per, F.col(inner[id_col]).eqNullSafe(F.col("__id")), "left")
+    text, none = F.col(inner[text_col]), F.array().cast("array<struct<start:bigint,end:bigint>>")
     spans_here = F.coalesce("removed", none)
     keep_from = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_here, lambda s: s["end"]))
     keep_to = F.concat(F.transform(spans_here, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     kept = F.transform(F.arrays_zip(keep_from.alias("a"), keep_to.alias("b")), lambda x: F.substring(text, x["a"].cast("int") + 1, (x["b"] - x["a"]).cast("int")))
-    return rows.withColumn(text_col, F.when(text.isNotNull(), F.array_join(kept, ""))).withColumn("removed", spans_here)
+    rows = rows.withColumn(inner[text_col], F.when(text.isNotNull(), F.array_join(kept, ""))).withColumn("removed", spans_here)
+    return rows.select(*back, "removed").withColumnsRenamed(back)

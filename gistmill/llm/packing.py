@@ -26,7 +26,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, prefix_sum
+from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, masked, prefix_sum
 
 RESULT = ("bucket", "bucket_len", "batch", "slot")
 
@@ -97,6 +97,8 @@ def pack(df: DataFrame, id_col: str, length_col: str, buckets: int = 8, budget:
     """
     if clash := set(RESULT) & set(df.columns):
         raise ValueError(f"result columns {sorted(clash)} are already there")
+    df, inner, back = masked(df)
+    id_col, length_col = inner[id_col], inner[length_col]
     seen = df.groupBy(length_col).agg(F.count(F.lit(1)).alias("n")).collect()
     histogram = sorted((r[0] or 0, r[1]) for r in seen)
     ends = optimal_boundaries(histogram, buckets) or [0]
@@ -108,7 +110,7 @@ def pack(df: DataFrame, id_col: str, length_col: str, buckets: int = 8, budget:
     blocks = blocks_for(sum(n for _, n in histogram))
     ranked = prefix_sum(rows, ["bucket"], [hash_block(F.col("__h"), blocks)], ["__h", id_col, length_col], "__one", "__rank")
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
-    return ranked.withColumn("batch", F.floor(F.col("__rank") / per).cast("long")).withColumn("slot", (F.col("__rank") % per).cast("long")).drop("__h", "__one", "__rank")
+    return ranked.withColumn("batch", F.floor(F.col("__rank") / per).cast("long")).withColumn("slot", (F.col("__rank") % per).cast("long")).select(*back, *RESULT).withColumnsRenamed(back)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536) -> DataFrame:

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm._util import cut
+from gistmill.llm._util import cut, masked
 
 OPEN, SHUT = chr(0xFDD0), chr(0xFDD1)
 #: Type letters, each with its pattern; group 1 is context that stays, group 2 the entity. In this order.
@@ -228,10 +228,11 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
     """``docs`` with surrogates in the text, and the number of replaced mentions."""
     if count_col in docs.columns:
         raise ValueError(f"column {count_col} is already there")
-    order = [c for c in docs.columns]
-    found = cut(entities(_with_names(docs.select(docs[text_col].cast("string").alias("__text")), "__text")), "found")
+    rows, inner, back = masked(docs)
+    text_col = inner[text_col]
+    found = cut(entities(_with_names(rows.select(F.col(text_col).cast("string").alias("__text")), "__text")), "found")
     later = collisions(found, key)
-    rows = _with_names(docs, text_col)
+    rows = _with_names(rows, text_col)
     attempt = lambda kind, value: F.lit(0)
     if later is not None:
         rows, attempt = _with_attempts(rows, later)
@@ -242,7 +243,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
 
     text = F.when(F.size("__pieces") > 1, F.array_join(F.transform("__pieces", replaced), "")).otherwise(F.element_at("__pieces", 1))
     n = F.when(F.col("__pieces").isNotNull(), F.floor(F.size("__pieces") / 2)).otherwise(0).cast("long")
-    return rows.withColumn(count_col, n).withColumn(text_col, F.when(F.col("__pieces").isNull(), F.col(text_col)).otherwise(text)).select(*order, count_col)
+    return rows.withColumn(count_col, n).withColumn(text_col, F.when(F.col("__pieces").isNull(), F.col(text_col)).otherwise(text)).select(*back, count_col).withColumnsRenamed(back)
 
 
 def _with_attempts(rows: DataFrame, later: DataFrame):

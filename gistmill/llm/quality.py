@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm._util import cut
+from gistmill.llm._util import cut, masked
 from gistmill.llm.token_counts import _slices
 
 SYMBOLS = "#*$%&|<>"
@@ -241,10 +241,9 @@ def keep_good(
     shuffled; the fitted table has a row per group and is joined as the planner
     sees fit for its measured size.
     """
-    fit = cut(statistics(df.withColumn("__id", F.lit(0)), "__id", text_col, (lang_col, source_col)).drop("id"), "statistics")
+    fit = cut(statistics(df, None, text_col, (lang_col, source_col)), "statistics")
     names, model = fitted(fit, min_group, share)
-    inner = {c: f"__c{i}" for i, c in enumerate(df.columns)}  # whatever the columns are called
-    back = {v: k for k, v in inner.items()}
-    rows = df.withColumnsRenamed(inner).withColumn("__text", F.col(inner[text_col]).cast("string"))
+    rows, inner, back = masked(df)
+    rows = rows.withColumn("__text", F.col(inner[text_col]).cast("string"))
     counted = statistics(rows, None, "__text", (inner[lang_col], inner[source_col]), tuple(back))
     return _verdict(counted, names, model, cutoff).where("kept").select(*back).withColumnsRenamed(back)

@@ -36,5 +36,7 @@ def test_odd_rows(spark, same_as_sql):
     for r in out.groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.max("slot").alias("s"), F.max("bucket_len").alias("l"), F.max("n_tokens").alias("t")).collect():
         assert r["s"] == r["n"] - 1 and r["t"] <= r["l"] and (r["n"] == 1 or r["n"] * r["l"] <= 300 or r["l"] == 0)
     assert packing.pack_documents(docs.limit(0)).count() == 0
+    extra = docs.select("doc_id", F.length("text").cast("long").alias("n"), F.lit("mine").alias("__h"))
+    assert {r["__h"] for r in packing.pack(extra, "doc_id", "n").collect()} == {"mine"}
     with pytest.raises(ValueError, match="already there"):
         packing.pack(docs, "doc_id", "doc_id")

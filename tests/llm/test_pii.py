@@ -49,9 +49,10 @@ def test_names(spark):
 def test_clean_text_and_odd_rows(spark):
     same = ["v4.0 of 2024-01-02 12:30:55 costs 1,000,000 or 3.14159265358979", "", None, "plain", "version 1.2.3.4.5 and 10.0.0.999", "my secret is safe", "a@b"]
     assert list(replaced(spark, same).values()) == same
-    df = spark.createDataFrame([(1, "x@y.example.org", "k"), (1, "x@y.example.org", "k"), (None, None, None)], "doc_id int, text string, __k string")
+    df = spark.createDataFrame([(1, "x@y.example.org", "k"), (1, "x@y.example.org", "k"), (None, None, None)], "doc_id int, text string, __names string")
     out = pii.replace_pii(df, KEY)
-    assert out.columns == ["doc_id", "text", "__k", "n_entities"] and sorted(r["n_entities"] for r in out.collect()) == [0, 1, 1]
+    assert out.columns == ["doc_id", "text", "__names", "n_entities"] and sorted(r["n_entities"] for r in out.collect()) == [0, 1, 1]
+    assert {r["__names"] for r in out.collect()} == {"k", None}
     assert pii.replace_pii(df.limit(0), KEY).count() == 0
     assert "�" in replaced(spark, ["a ﷐ x@y.example.org"])[0]
     with pytest.raises(ValueError, match="n_entities"):
