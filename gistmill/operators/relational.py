@@ -301,6 +301,18 @@ def sentence_label(sentences: DataFrame, id_col: str) -> DataFrame:
     return sentences.withColumn("label", F.when(F.col("sentence").rlike("[0-9]") | telling | edge, 1).when(words < 5, 0).when(filler, 0).otherwise(1))
 
 
+def training_examples(sentences: DataFrame, id_col: str, summary_col: str, high: float = 0.3, low: float = 0.1, around: int = 2) -> DataFrame:
+    """(id, idx, sentence, context, f1, label): sentences that a summary shares much (1) or little (0) with; those between are left out.
+
+    The context is a sentence with ``around`` sentences on each side.
+    """
+    w = _doc(id_col).orderBy("idx")
+    near = F.array_join(F.collect_list("sentence").over(w.rowsBetween(-around, around)), " ")
+    rows = sentences.withColumn("context", near).withColumn("f1", token_set_f1(F.col("sentence"), F.col(summary_col)))
+    rows = rows.withColumn("label", F.when(F.col("f1") > high, 1).when(F.col("f1") < low, 0))
+    return rows.where(F.col("label").isNotNull()).select(id_col, "idx", "sentence", "context", "f1", "label")
+
+
 def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """One row: accuracy, precision, recall and f1 of a 0/1 guess."""
     t, g = F.col(truth) == 1, F.col(guess) == 1

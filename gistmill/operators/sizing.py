@@ -90,6 +90,11 @@ def optimal_k_udf(items: pd.Series) -> pd.Series:
     return items.map(lambda x: None if x is None else optimal_k(list(x))).astype("Int32")
 
 
+@F.pandas_udf(T.IntegerType())
+def count_unique_udf(items: pd.Series) -> pd.Series:
+    return items.map(lambda x: None if x is None else count_unique(list(x))).astype("Int32")
+
+
 def bigrams(text: Column) -> Column:
     """Array of word pairs; of a single word, that word."""
     words = F.filter(F.split(F.lower(text), f"{P.WS}+", -1), lambda w: F.length(w) > 0)

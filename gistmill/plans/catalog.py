@@ -581,6 +581,12 @@ def simhash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sizing.simhash64(F.col("text")).alias("fingerprint"))
 
 
+@query()
+def near_dup_clusters(spark, sf_dir):
+    items = user_items(spark, sf_dir).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda r: r["item"]).alias("items"))
+    return items.select("user", F.size("items").alias("n"), sizing.count_unique_udf(F.col("items")).alias("clusters"))
+
+
 @query()
 def optimal_k(spark, sf_dir):
     items = user_items(spark, sf_dir).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda r: r["item"]).alias("items"))
@@ -704,6 +710,16 @@ def token_set_f1(spark, sf_dir):
     return sentences(spark, sf_dir).withColumn("lead", first).select("doc_id", "idx", F.round(L.token_set_f1(F.col("sentence"), F.col("lead")), 6).alias("f1"))
 
 
+@query(f"""SELECT doc_id, CAST(idx AS INTEGER) AS idx, context, round(f1, 6) AS f1, CAST(CASE WHEN f1 > 0.3 THEN 1 ELSE 0 END AS INTEGER) AS label FROM (
+SELECT *, CASE WHEN b > 0 THEN 2.0 * b / (len(x) + len(y)) ELSE 0.0 END AS f1 FROM (
+SELECT *, len(list_intersect(x, y)) AS b FROM (SELECT doc_id, idx, {SET_SQL('sentence')} AS x, {SET_SQL('first_value(sentence) OVER (PARTITION BY doc_id ORDER BY idx)')} AS y,
+  array_to_string(list(sentence) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ' ') AS context FROM ({SENT_SQL})))) WHERE f1 > 0.3 OR f1 < 0.1""")
+def training_examples(spark, sf_dir):
+    first = F.first("sentence").over(L.Window.partitionBy("doc_id").orderBy("idx"))
+    rows = L.training_examples(sentences(spark, sf_dir).withColumn("lead", first), "doc_id", "lead")
+    return rows.select("doc_id", "idx", "context", F.round("f1", 6).alias("f1"), "label")
+
+
 @query(f"""SELECT doc_id, CAST(idx AS INTEGER) AS idx, CAST(CASE WHEN regexp_matches(sentence, '[0-9]') OR regexp_matches(lower(sentence), 'error|decision|warning|failed|critical|decided|use|choose') OR idx = 0 OR idx = n_sentences - 1 THEN 1
 WHEN len(list_filter(string_split_regex(sentence, '\\s+'), lambda w: length(w) > 0)) < 5 THEN 0 WHEN regexp_matches(lower(sentence), '^(sure|let me|i can|here is|as mentioned|i will|got it|okay)') THEN 0 ELSE 1 END AS INTEGER) AS label FROM ({SENT_SQL})""")
 def sentence_label(spark, sf_dir):

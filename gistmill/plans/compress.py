@@ -61,10 +61,14 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "detection") -> Dat
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster has slots, for per-document work on small inputs.
 
-    Inputs that already are (all large ones) are left as they are: texts are not shuffled for nothing.
+    Inputs that already are (all large ones) are left as they are: texts are not
+    shuffled for nothing. So are plans with an exchange, whose partitions are
+    adaptive execution's business, and streams.
     """
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
 def compress(df: DataFrame, text_col: str = "text", options: Options = Options(), tool_col: str | None = None, out: str = "result") -> DataFrame:

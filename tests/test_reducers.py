@@ -131,6 +131,14 @@ def test_model():
     assert r["compressed"] == text and r["transformsApplied"] == ["detector:text", "error:passthrough"]
 
 
+def test_missing_model_leaves_the_text():
+    from gistmill.sources.model import OnnxScorer
+
+    text = "\n".join(f"Sentence about {' and '.join(f'thing{k % 11}' for k in range(i % 6 + 1))} with nothing{i} else to see." for i in range(30))
+    r = R.compress_as(text, "text", 1.0, Options(0.5, use_model=True, scorer=OnnxScorer("/no/model.onnx", "/no/tokenizer.json")))
+    assert r["compressed"] == text and r["transformsApplied"][-1] == "error:passthrough"
+
+
 def test_conversation():
     long = "Assistant: " + " ".join(f"Point {w} is explained by the words {w}a and {w}b here." for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
     text = f"User: short question\n{long}\nUser: thanks\nAssistant: ok"
