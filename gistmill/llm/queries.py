@@ -89,5 +89,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_packing": packing.oracle(),
+    "op2_warc": warc.oracle(),
     "op4_chat": chat.oracle(),
 }

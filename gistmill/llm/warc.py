@@ -246,3 +246,14 @@ def _joined(source: DataFrame, pieces: DataFrame, parted: DataFrame) -> DataFram
     body = text.groupBy("file", "off").agg(body.cast("binary").alias("body")).join(parted, ["file", "off"])
     digest = F.sha1(F.substring("body", F.col("lead").cast("int") + 1, F.col("full").cast("int")))
     return body.select("file", "off", "type", "id", "url", "refers", "declared", "full", F.upper(digest).alias("sha1"))
+
+
+def oracle(pages: str = "pages") -> str:
+    """DuckDB SQL for what reading written archives back must give."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    group = lambda i: f"CAST('0x' || substr(x, {1 + 5 * i}, 5) AS BIGINT)"  # noqa: E731  five hex digits are four letters
+    digest = " || ".join(f"substr('{letters}', CAST(({group(i)} >> {shift}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+SELECT page_id, payload_bytes, {digest} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM (SELECT page_id, coalesce(html, '') AS h FROM {pages}))
+"""

@@ -59,8 +59,10 @@ def test_empty_and_broken(spark, tmp_path):
     assert [r["id"] for r in warc.read_archives(spark, f"file://{tmp_path}").collect()] == ["1"]
 
 
-def test_query(spark, sf):
-    from gistmill.llm.queries import QUERIES
+def test_query(spark, sf, same_as_sql):
+    from gistmill.llm.queries import ORACLES, QUERIES
+
+    same_as_sql(QUERIES["op2_warc"](spark, sf), ORACLES["op2_warc"], sf)
 
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     df = QUERIES["op2_warc"](spark, sf)
