@@ -9,6 +9,11 @@ the slots are compared along the alignment most windows agree on: in a copy or
 a re-parameterised question, each filler of the item stands for one filler of
 the document throughout, and different ones for different ones.
 
+A copy in another case has other names, or none, so all of this is done a
+second time on case-folded texts, where names stay words and only numbers and
+units are placeholders. An item that either way finds is matched; the figures
+are those of the first where it finds the item.
+
 Windows with fewer than ``least_words`` words that are no placeholder say too
 little and do not count, unless an item has no others.
 
@@ -40,13 +45,17 @@ UNITS = (
 )
 
 
-def template(text: Column, values: bool) -> Column:
-    """The words of a text with placeholders; with ``values`` these hold what they replace."""
+def template(text: Column, values: bool, fold: bool = False) -> Column:
+    """The words of a text with placeholders; with ``values`` these hold what they replace; with ``fold`` in lower case, without names."""
+    if fold:
+        text = F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))  # as in upper case, which has no other forms
+    units = {u.lower() for u in UNITS} if fold else UNITS
     keep = "$0" if values else ""
     out = F.regexp_replace(text, r"(?<![\p{L}\d])\d+(?:[.,:/]\d+)*", f"{NUMBER}{keep}{CLOSE}")
     unit = "$2" if values else ""
-    out = F.regexp_replace(out, rf"({CLOSE}[ \x{{A0}}]?)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?!\p{{L}})", f"$1 {UNIT}{unit}{CLOSE}")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}{UNIT}])\p{{Lu}}\p{{L}}*", f"{NAME}{keep}{CLOSE}")
+    out = F.regexp_replace(out, rf"({CLOSE}[ \x{{A0}}]?)({'|'.join(sorted(units, key=len, reverse=True))})(?!\p{{L}})", f"$1 {UNIT}{unit}{CLOSE}")
+    if not fold:
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}{UNIT}])\p{{Lu}}\p{{L}}*", f"{NAME}{keep}{CLOSE}")
     return F.regexp_extract_all(out, F.lit(rf"[{NAME}-{UNIT}][^{CLOSE}]*{CLOSE}|\p{{L}}+"), F.lit(0))
 
 
@@ -57,9 +66,9 @@ def windows(words: Column) -> Column:
     return F.when(n > 0, F.transform(ends, lambda i: F.xxhash64(F.slice(words, i, WIDTH))))
 
 
-def benchmark_windows(items: DataFrame, item_col: str, text_col: str, least_words: int = 3) -> DataFrame:
+def benchmark_windows(items: DataFrame, item_col: str, text_col: str, least_words: int = 3, fold: bool = False) -> DataFrame:
     """(item, h, pos): the windows of every item that count; ``item_col`` must not be null."""
-    rows = items.select(items[item_col].alias("item"), template(items[text_col].cast("string"), False).alias("words"))
+    rows = items.select(items[item_col].alias("item"), template(items[text_col].cast("string"), False, fold).alias("words"))
     plain = lambda i: F.size(F.filter(F.slice("words", i + 1, WIDTH), lambda w: ~w.startswith(NAME) & ~w.startswith(NUMBER) & ~w.startswith(UNIT)))
     some = rows.select("item", "words", F.posexplode(windows(F.col("words"))).alias("pos", "h"))
     some = some.select("item", "h", "pos", (plain(F.col("pos")) >= least_words).alias("telling"))
@@ -74,27 +83,36 @@ def contaminated(
     """(doc_id, item_id, n_windows, n_matched, n_slots, n_consistent, verbatim): matched documents and items."""
     # items are numbered by content here, so that repeated or null ids stay apart
     named = items.select(F.struct(items[item_col].alias("id"), F.xxhash64(items[item_text_col]).alias("x")).alias("item"), items[item_text_col].cast("string").alias("text"))
-    bench = cut(benchmark_windows(named, "item", "text", least_words), "benchmark")
+    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text"))
+    found = cut(_matched(rows, named, share, consistency, least_words, broadcast_rows, False), "found")
+    known = found.select(F.col("doc").alias("kdoc"), F.col("item").alias("kitem"))
+    folded = cut(_matched(rows, named, share, consistency, least_words, broadcast_rows, True), "folded")
+    folded = folded.join(known, F.col("doc").eqNullSafe(F.col("kdoc")) & (F.col("item") == F.col("kitem")), "left_anti")
+    return found.union(folded).withColumn("item", F.col("item.id")).withColumnsRenamed({"doc": "doc_id", "item": "item_id"}).distinct()
+
+
+def _matched(rows: DataFrame, named: DataFrame, share: float, consistency: float, least_words: int, broadcast_rows: int, fold: bool) -> DataFrame:
+    """(doc, item, n_windows, n_matched, n_slots, n_consistent, verbatim) by one of the two templates."""
+    bench = cut(benchmark_windows(named, "item", "text", least_words, fold), "benchmark")
     known = cut(bench.select("h").distinct(), "windows")
     small = known.count() <= broadcast_rows
-    rows = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text"))
     # the words are a column of their own, else every window would make them anew
-    looked_up = rows.select("doc", template(F.col("text"), False).alias("words")).select("doc", F.posexplode(windows(F.col("words"))).alias("at", "h"))
+    looked_up = rows.select("doc", template(F.col("text"), False, fold).alias("words")).select("doc", F.posexplode(windows(F.col("words"))).alias("at", "h"))
     hits = cut(looked_up.join(F.broadcast(known) if small else known, "h"), "hits")
     pairs = hits.join(bench, "h")
     need = bench.groupBy("item").agg(F.countDistinct("h").alias("n_windows"))
     got = pairs.groupBy("doc", "item").agg(F.countDistinct("h").alias("n_matched"))
     found = cut(got.join(need, "item").where(F.col("n_matched") >= share * F.col("n_windows")), "matched")
-    slots = _slots(rows, named, found, pairs)
+    slots = _slots(rows, named, found, pairs, fold)
     slots = slots.withColumnsRenamed({"doc": "sdoc", "item": "sitem"})
     return (
         found.join(slots, F.col("doc").eqNullSafe(F.col("sdoc")) & (F.col("item") == F.col("sitem")), "left")
-        .select("doc", F.col("item.id").alias("item_id"), "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
-        .where(F.col("n_consistent") >= consistency * F.col("n_slots")).withColumnRenamed("doc", "doc_id").distinct()
+        .select("doc", "item", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+        .where(F.col("n_consistent") >= consistency * F.col("n_slots"))
     )
 
 
-def _slots(rows: DataFrame, items: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
+def _slots(rows: DataFrame, items: DataFrame, found: DataFrame, pairs: DataFrame, fold: bool) -> DataFrame:
     """(doc, item, n_slots, n_consistent, verbatim): fillers compared along the main alignment."""
     key = ["doc", "item"]
     ours = lambda d: F.col("doc").eqNullSafe(d)
@@ -103,9 +121,9 @@ def _slots(rows: DataFrame, items: DataFrame, found: DataFrame, pairs: DataFrame
     shift = lined.groupBy(*key, (F.col("at") - F.col("pos")).alias("shift")).agg(F.countDistinct("pos").alias("n"))
     shift = shift.groupBy(*key).agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
     ids = f.select("fdoc").distinct()
-    texts = rows.join(ids, F.col("doc").eqNullSafe(F.col("fdoc")), "left_semi").select(F.col("doc").alias("tdoc"), template(F.col("text"), True).alias("theirs"))
+    texts = rows.join(ids, F.col("doc").eqNullSafe(F.col("fdoc")), "left_semi").select(F.col("doc").alias("tdoc"), template(F.col("text"), True, fold).alias("theirs"))
     texts = cut(texts, "texts")
-    own = items.select(F.col("item").alias("oitem"), template(F.col("text"), True).alias("own")).dropDuplicates(["oitem"])
+    own = items.select(F.col("item").alias("oitem"), template(F.col("text"), True, fold).alias("own")).dropDuplicates(["oitem"])
     both = shift.join(own, F.col("item") == F.col("oitem")).join(texts, ours(F.col("tdoc")))
     places = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i + F.col("shift") >= 0) & (i + F.col("shift") < F.size("theirs")))
     filler = F.transform(places, lambda i: F.struct(F.element_at("own", i + 1).alias("a"), F.element_at("theirs", (i + F.col("shift") + 1).cast("int")).alias("b")))

@@ -28,3 +28,19 @@ def test_planted_passages(spark, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = QUERIES["op8_decontamination"](spark, sf)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "MapInArrow"))
+
+
+def test_copies_in_another_case(spark):
+    loose = LOOSE.upper()
+    docs = [(1, f"xx yy {Q.upper()} zz"), (2, f"WORDS BEFORE {Q.lower()} AFTER"), (3, Q.title()), (4, loose), (5, SAME.replace("Kurt", "Tom").replace("Mia", "Anna").upper()), (6, "DIE STRASSE IST 3 KM LANG UND HEISST WIE DIE GROSSE STADT")]
+    items = [(1, Q), (2, "Die Straße ist 3 km lang und heißt wie die große Stadt")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in D.contaminated(d, i).collect()}
+    assert found == {(1, 1): True, (2, 1): True, (3, 1): True, (5, 1): False, (6, 2): True}
+
+
+def test_upper_case_items_in_given_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id IN (1699, 6420, 8376)")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert {(1699, 130), (6420, 37), (8376, 101)} <= got
