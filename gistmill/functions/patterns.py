@@ -18,10 +18,12 @@ ANY = "[^\\n\\r\\u2028\\u2029]"
 LINE_START = "(?:^|(?<=[\\n\\r\\u2028\\u2029]))"
 
 # What tells the kinds of content apart.
-LOG_LINE = f"{B}(?:INFO|DEBUG|WARN|WARNING|ERROR|FATAL|CRITICAL|TRACE){E}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"
+LOG_WORDS = ("INFO", "DEBUG", "WARN", "WARNING", "ERROR", "FATAL", "CRITICAL", "TRACE")
+LOG_LINE = f"{B}(?:{'|'.join(LOG_WORDS)}){E}|[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"
 SEARCH_LINE = f"^(?![0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T)[^{WS_SET}:]+:[0-9]+:"
 SEARCH_PARTS = f"^([^{WS_SET}:]+):([0-9]+):({ANY}*){END}"
-DIFF_MARKS = tuple(LINE_START + m for m in ("diff --git ", "--- a/", "\\+\\+\\+ b/", "@@ "))
+DIFF_STARTS = ("diff --git ", "--- a/", "+++ b/", "@@ ")
+DIFF_MARKS = tuple(LINE_START + m.replace("+", "\\+") for m in DIFF_STARTS)
 CODE_LINE = "^(?:def |function |class |import |from |export |const |let |var |pub fn |fn |func |#include|public |private |protected |async )"
 HTML_DOCTYPE = f"(?i)^{WS}*<!doctype{WS}+html"
 HTML_ROOT = f"(?i)<html[{WS_SET}>]"
@@ -48,14 +50,20 @@ LOG_VOLATILE = (
 )
 
 # What makes a sentence worth keeping: sums, then figures (all hold a digit), questions, and words of consequence.
-MONEY = "[$₹€£¥]" + WS + "*[0-9,.]+"
+CURRENCIES = "$₹€£¥"
+MONEY = f"[{CURRENCIES}]{WS}*[0-9,.]+"
 FIGURES = (
     "[0-9]+(?:\\.[0-9]+)?%",
     f"{B}v?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?{E}",
     f"(?i){B}[0-9]+(?:\\.[0-9]+)?{WS}*(?:kg|lbs|kcal|g|mg|cm|mm|reps|sets|sec|min|hrs?|km|m){E}",
     f"{B}[0-9]{{3,}}{E}",
 )
-CONSEQUENCE = f"(?i){B}(?=[bcdefimnrsuvw])(?:error|errors|failed|fail|failure|warning|warn|critical|must|never|decided|decide|requires|require|cannot|important|note|caution|deprecated|breaking|null|undefined|exception|crash|security|vulnerability){E}"
+CONSEQUENCE_WORDS = """
+error errors failed fail failure warning warn critical must never decided decide requires require cannot important note
+caution deprecated breaking null undefined exception crash security vulnerability
+""".split()
+# the look-ahead at first letters only saves time
+CONSEQUENCE = f"(?i){B}(?=[bcdefimnrsuvw])(?:{'|'.join(CONSEQUENCE_WORDS)}){E}"
 
 # Words without content.
 STOPWORDS = """

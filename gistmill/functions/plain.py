@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from functools import lru_cache
-from itertools import chain
-from typing import NamedTuple
 
 from gistmill.functions import patterns as P
 from gistmill.functions.text import parse_json
@@ -20,8 +16,8 @@ def rx(pattern: str) -> re.Pattern:
 
 SPACES = P.SPACES
 _RUN = re.compile(f"{P.WS}+")
-_SENTENCE_END = re.compile(P.SENTENCE_END)
-_NON_WORD = re.compile(f"[^a-z0-9{P.WS_SET}]")
+_WORD = re.compile("[a-z0-9]{2,}")
+_CLOCK = re.compile("[0-9]{2}:[0-9]{2}:[0-9]{2}")
 _CONSEQUENCE, _MONEY, _DIGIT, _FIGURES = re.compile(P.CONSEQUENCE), re.compile(P.MONEY), re.compile("[0-9]"), [re.compile(p) for p in P.FIGURES]
 _STOP = frozenset(P.STOPWORDS)
 
@@ -46,7 +42,11 @@ def is_json(text: str) -> bool:
 def important(text: str) -> bool:
     if "?" in text or _CONSEQUENCE.search(text) or _MONEY.search(text):
         return True
-    return bool(_DIGIT.search(text)) and any(p.search(text) for p in _FIGURES)
+    return bool(_DIGIT.search(text)) and has_figure(text)
+
+
+def has_figure(text: str) -> bool:
+    return any(p.search(text) for p in _FIGURES)
 
 
 def log_template(line: str) -> str:
@@ -59,50 +59,55 @@ def log_level(line: str) -> str:
     return "HIGH" if rx(P.LOG_HIGH).search(line) else "MED" if rx(P.LOG_MEDIUM).search(line) else "LOW"
 
 
-def is_log_line(line: str) -> bool:
-    return bool(trim(line)) and bool(rx(P.LOG_LINE).search(line))
+def log_places(text: str) -> list[int]:
+    """Where the marks of log lines stand in a text; most texts hold none, which plain searches tell quickly."""
+    if not any(w in text for w in P.LOG_WORDS) and not _CLOCK.search(text):
+        return []
+    return [m.start() for m in rx(P.LOG_LINE).finditer(text)]
 
 
 def content_words(text: str) -> list[str]:
-    return [w for w in _RUN.split(_NON_WORD.sub(" ", text.lower())) if len(w) > 1 and w not in _STOP]
+    return [w for w in _WORD.findall(text.lower()) if w not in _STOP]
 
 
-class Sentence(NamedTuple):
-    text: str
-    trailing: str
+def _share(items: list[str], test) -> float:
+    return sum(map(bool, map(test, items))) / len(items) if items else 0.0
 
 
-def sentences(text: str) -> list[Sentence]:
-    """Sentences in order, with what separates each from the next."""
-    found, at = [], 0
-    for m in _SENTENCE_END.finditer(text):
-        found.append(Sentence(trim(text[at : m.end(1)] if m[1] is not None else text[at : m.start()]), m[3] if m[1] is None else m[2]))
-        at = m.end()
-    found.append(Sentence(trim(text[at:]), ""))
-    return [s for s in found if s.text]
+def speaker(line: str) -> re.Match | None:
+    return rx(P.SPEAKER).match(line)
 
 
-def reassemble(kept: list[Sentence]) -> str:
-    glue = lambda sep: re.sub("\n{3,}", "\n\n", sep) if "\n" in sep else " "
-    return "".join(s.text + glue(s.trailing) for s in kept[:-1]) + (kept[-1].text if kept else "")
+def anchored(pattern: str, line: str) -> bool:
+    """Whether a pattern of speakers is found: at the start of a line, or after the marks of a heading."""
+    return bool(rx(pattern).match(line) or "##" in line and rx(pattern).search(line))
 
 
-def tfidf(words: list[list[str]]) -> list[float]:
-    """Score of each sentence: sum of count^2 ln(N / df) over the square of its content words' number."""
-    counts = [Counter(w) for w in words]  # in order of first occurrence
-    seen = Counter(chain.from_iterable(counts))
-    rarity = {t: math.log(len(words) / n) for t, n in seen.items()}
-    out = []
-    for w, count in zip(words, counts, strict=True):
-        total = 0.0  # added one by one: sum() would compensate, and ties would fall otherwise
-        for t, c in count.items():
-            total += c / len(w) * rarity[t] * c
-        out.append(total / len(w) if w else 0.0)
-    return out
+def _by_marks(body: str) -> tuple[str, float, dict[str, str]] | None:
+    """What the start of a text tells: JSON, a diff, a page or a conversation."""
+    if body[0] in "[{" and is_json(body):
+        return "json", 1.0, {"isArray": str(body[0] == "[").lower()}
+    # here and below, plain searches and anchored matches spare most texts the patterns
+    start, head = body[:2000], body[:3000]
+    if (marks := sum(plainly in start and bool(rx(m).search(start)) for plainly, m in zip(P.DIFF_STARTS, P.DIFF_MARKS, strict=True))) >= 2:
+        return "diff", min(1.0, 0.5 + marks * 0.15), {"markers": str(marks)}
+    if "<" in head:
+        doctype, root, tags = bool(rx(P.HTML_DOCTYPE).match(head)), bool(rx(P.HTML_ROOT).search(head)), len(rx(P.HTML_TAG).findall(head))
+        html = 0.5 * doctype + 0.3 * root + min(0.6, tags * 0.1)
+        if (doctype or root or tags >= 3) and html >= 0.5:
+            return "html", min(1.0, html), {"structuralTags": str(tags)}
+    first = [trim(x) for x in body.split("\n", 50)[:50]]
+    spoken = [m for m in map(speaker, first) if m]
+    names = list(dict.fromkeys((m[1] or m[2] or m[3]).lower() for m in spoken))
+    many = len(spoken) / len(first) > 0.3 and len(names) >= 3
+    if many or any(anchored(P.STRONG_SPEAKER, x) for x in first):
+        return "conversation", 0.85 if many else 0.65, {"speakers": ",".join(names)}
+    return None
 
 
-def _share(items: list[str], test) -> float:
-    return sum(map(bool, map(test, items))) / len(items) if items else 0.0
+def is_conversation(text: str) -> bool:
+    body = trim(text)
+    return bool(body) and (_by_marks(body) or ("",))[0] == "conversation"
 
 
 def detect(text: str) -> tuple[str, float, dict[str, str]]:
@@ -110,26 +115,13 @@ def detect(text: str) -> tuple[str, float, dict[str, str]]:
     body = trim(text or "")
     if not body:
         return "text", 0.0, {}
-    if body[0] in "[{" and is_json(body):
-        return "json", 1.0, {"isArray": str(body[0] == "[").lower()}
-    if (marks := sum(bool(rx(m).search(body[:2000])) for m in P.DIFF_MARKS)) >= 2:
-        return "diff", min(1.0, 0.5 + marks * 0.15), {"markers": str(marks)}
-    head = body[:3000]
-    doctype, root, tags = bool(rx(P.HTML_DOCTYPE).search(head)), bool(rx(P.HTML_ROOT).search(head)), len(rx(P.HTML_TAG).findall(head))
-    html = 0.5 * doctype + 0.3 * root + min(0.6, tags * 0.1)
-    if (doctype or root or tags >= 3) and html >= 0.5:
-        return "html", min(1.0, html), {"structuralTags": str(tags)}
+    if found := _by_marks(body):
+        return found
     rows = body.split("\n")
-    first = [trim(x) for x in rows[:50]]
-    spoken = [m for m in map(rx(P.SPEAKER).search, first) if m]
-    names = list(dict.fromkeys((m[1] or m[2] or m[3]).lower() for m in spoken))
-    many = len(spoken) / len(first) > 0.3 and len(names) >= 3
-    if many or any(map(rx(P.STRONG_SPEAKER).search, first)):
-        return "conversation", 0.85 if many else 0.65, {"speakers": ",".join(names)}
     for kind, share, least in (
         ("logs", _share(rows[:50], rx(P.LOG_LINE).search), 0.3),
-        ("search", _share([trim(x) for x in rows[:30]], rx(P.SEARCH_LINE).search), 0.3),
-        ("code", _share([x.lstrip(SPACES) for x in rows if trim(x)], rx(P.CODE_LINE).search), 0.2),
+        ("search", _share([trim(x) for x in rows[:30]], rx(P.SEARCH_LINE).match), 0.3),
+        ("code", _share([x for x in (x.lstrip(SPACES) for x in rows) if x], rx(P.CODE_LINE).match), 0.2),
     ):
         if share > least:
             return kind, min(1.0, 0.4 + share * 0.6), {}

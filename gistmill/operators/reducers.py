@@ -14,9 +14,12 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field, replace
 from itertools import groupby
 
+import numpy as np
+
 from gistmill.functions import patterns as P
 from gistmill.functions import plain
-from gistmill.functions.plain import Sentence, rx, sample, trim
+from gistmill.functions.plain import rx, sample, trim
+from gistmill.functions.prose import Prose
 from gistmill.functions.text import parse_json
 from gistmill.operators.sizing import optimal_k
 from gistmill.options import Options
@@ -64,7 +67,11 @@ _AS_IS = "\x02"
 
 def _ordered(value):
     """Numbers and key order as JavaScript has them: doubles; integer-like keys first, ascending."""
+    if isinstance(value, str):
+        return value
     if isinstance(value, dict):
+        if not any(k[:1].isdigit() for k in value):
+            return {k: _ordered(v) for k, v in value.items()}
         index = sorted((k for k in value if k.isascii() and k.isdigit() and str(int(k)) == k and int(k) < 2**32 - 1), key=int)
         return {k: _ordered(value[k]) for k in (*index, *(k for k in value if k not in set(index)))}
     if isinstance(value, list):
@@ -77,7 +84,7 @@ def _ordered(value):
 
 def _dump(value, indent: int | None = None) -> str:
     text = json.dumps(value, ensure_ascii=False, separators=(",", ": " if indent else ":"), indent=indent)
-    return re.sub(r'"\\u0002(-?[0-9.]+(?:e[+-][0-9]+)?)"', r"\1", text)
+    return text if "\\u0002" not in text else re.sub(r'"\\u0002(-?[0-9.]+(?:e[+-][0-9]+)?)"', r"\1", text)
 
 
 def _representative(items: list, o: Options) -> tuple[list, int, str | None]:
@@ -171,7 +178,7 @@ def reduce_diff(text: str, o: Options) -> Reduced:
 
 def reduce_search(text: str, o: Options) -> Reduced:
     lines = text.split("\n")
-    hits = [rx(P.SEARCH_PARTS).search(trim(x)) for x in lines]
+    hits = [rx(P.SEARCH_PARTS).match(trim(x)) for x in lines]
     at = [i for i, m in enumerate(hits) if m]
     if not at:
         return Reduced(text, [], ["search:passthrough"])
@@ -202,14 +209,21 @@ def _lines(text: str) -> int:
     return text.count("\n") + 1 if text else 0
 
 
-def _cut(pattern: str, text: str, by: str = "") -> tuple[str, list[str]]:
-    """The text without a pattern's matches, and those."""
+def _cut(pattern: str, text: str, by: str = "", closing: str | None = None) -> tuple[str, list[str]]:
+    """The text without a pattern's matches, and those.
+
+    ``closing`` is what every match ends with: nothing is looked for beyond its
+    last occurrence, so that openings without an end cost nothing.
+    """
     found: list[str] = []
-    return rx(pattern).sub(lambda m: found.append(m[0]) or by, text), found
+    end = len(text)
+    if closing is not None:
+        end = max((m.end() for m in rx(closing).finditer(text)), default=0)
+    return rx(pattern).sub(lambda m: found.append(m[0]) or by, text[:end]) + text[end:] if end else text, found
 
 
 def reduce_code(text: str, o: Options) -> Reduced:
-    rest, blocks = _cut(BLOCK_COMMENT, text)
+    rest, blocks = _cut(BLOCK_COMMENT, text, closing=r"\*/")
     rest, strings = _cut(DOCSTRING, rest)
     blocks += strings
     rows = [(trim(x).startswith(COMMENT_MARKS), x) for x in rest.split("\n")]
@@ -236,9 +250,9 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 def reduce_html(text: str, o: Options) -> Reduced:
     found = {}
     for name, pattern in HTML_NOISE.items():
-        text, found[name] = _cut(pattern, text)
+        text, found[name] = _cut(pattern, text, closing="-->" if name == "comment" else f"(?i)</{name}>")
     text = rx(HTML_BREAK).sub("\n", rx(HTML_BLOCK_END).sub("\n", text))
-    text, tags = _cut(HTML_ANY_TAG, text)
+    text, tags = _cut(HTML_ANY_TAG, text, closing=">")
     for a, b in ENTITIES:
         text = text.replace(a, b)
     rows = [trim(re.sub("[ \t]+", " ", x)) for x in text.split("\n")]
@@ -273,51 +287,55 @@ def reduce_plain(text: str, o: Options) -> Reduced:
 # Prose ---------------------------------------------------------------------
 
 
-def reduce_tfidf(text: str, o: Options) -> Reduced:
-    """The sentences that carry most, up to the token budget; first, last, best tenth and important ones always."""
-    found = plain.sentences(text)
-    n, total = len(found), o.tokens(text)
-    same = Reduced(text, [], ["tfidf:passthrough"], {"originalSentenceCount": n, "retainedSentenceCount": n})
+def _by_score(text: str, prose: Prose, o: Options) -> list[int] | None:
+    """Places of the sentences that carry most, up to the token budget; None if the text is best left alone."""
+    n, total = len(prose), o.tokens(text)
     if n < 4 or total < 80:
-        return same
-    boosted = [plain.important(s.text) for s in found]
-    score = [x * 1.4 if b else x for x, b in zip(plain.tfidf([plain.content_words(s.text) for s in found]), boosted, strict=True)]
-    order = sorted(range(n), key=lambda i: (-score[i], i))
-    keep = {0, n - 1, *order[: max(1, n // 10)], *(i for i in range(n) if boosted[i])}
+        return None
+    order = np.argsort(-(prose.scores() * np.where(prose.boosted, 1.4, 1.0)), kind="stable")
+    keep = prose.boosted.copy()
+    keep[[0, n - 1, *order[: max(1, n // 10)]]] = True
+    tokens = np.fromiter(map(o.tokens, prose.texts), np.int64, n) if o.count_tokens else np.maximum(1, -(-np.fromiter(map(len, prose.texts), np.int64, n) // 4))
     budget = max(1, math.floor(total * (1 - o.target_ratio)))
-    used = sum(o.tokens(found[i].text) for i in keep)
-    for i in order:
-        if used >= budget:
-            break
-        if i not in keep:
-            keep.add(i)
-            used += o.tokens(found[i].text)
-    if len(keep) == n:
-        return same
-    gone = [i for i in range(n) if i not in keep]
-    dropped: list[Dropped] = [(f"TF-IDF: removed {len(gone)} low-importance sentences", len(gone), sample(found[gone[0]].text))]
-    if marked := sum(boosted[i] for i in keep):
+    rest = order[~keep[order]]
+    used = int(tokens[keep].sum()) + np.cumsum(tokens[rest]) - tokens[rest]  # before each of the rest is taken
+    keep[rest[used < budget]] = True
+    return None if keep.all() else np.flatnonzero(keep).tolist()
+
+
+def _selected(text: str, prose: Prose, keep: list[int] | None) -> Reduced:
+    n = len(prose)
+    if keep is None:
+        return Reduced(text, [], ["tfidf:passthrough"], {"originalSentenceCount": n, "retainedSentenceCount": n})
+    first_gone = next((i for i, k in enumerate(keep) if i != k), len(keep))
+    dropped: list[Dropped] = [(f"TF-IDF: removed {n - len(keep)} low-importance sentences", n - len(keep), sample(prose.texts[first_gone]))]
+    if marked := int(prose.boosted[keep].sum()):
         dropped.append((f"TF-IDF: preserved {marked} sentences by importance signal (numbers, errors, decisions)", marked, None))
     return Reduced(
-        plain.reassemble([found[i] for i in sorted(keep)]), dropped, [f"tfidf:extractive({n}sentences->{len(keep)}sentences)"],
-        {"originalSentenceCount": n, "retainedSentenceCount": len(keep)},
+        prose.text(keep), dropped, [f"tfidf:extractive({n}sentences->{len(keep)}sentences)"], {"originalSentenceCount": n, "retainedSentenceCount": len(keep)},
     )
 
 
+def reduce_tfidf(text: str, o: Options) -> Reduced:
+    """The sentences that carry most, up to the token budget; first, last, best tenth and important ones always."""
+    prose = Prose.of(text)
+    return _selected(text, prose, _by_score(text, prose, o))
+
+
 def reduce_iterative(text: str, o: Options) -> Reduced:
     """Sentence selection on its own output, until it stops paying."""
     it = o.iterative
+    prose = Prose.of(text)
     if not it.enabled:
-        return reduce_tfidf(text, o)
-    start = o.tokens(text)
-    best: Reduced | None = None
-    now, passes, settled, originally, before_kept = text, 0, False, 0, 0
+        return _selected(text, prose, _by_score(text, prose, o))
+    start = before = o.tokens(text)
+    best = once = None
+    now, passes, settled, originally, before_kept = text, 0, False, len(prose), 0
     while passes < it.max_passes and not settled:
-        before = o.tokens(now)
-        made = reduce_tfidf(now, o)
+        keep = _by_score(now, prose, o)
+        made = _selected(now, prose, keep)
+        once = once or made
         kept = made.metrics["retainedSentenceCount"]
-        if not passes:
-            originally = made.metrics["originalSentenceCount"]
         if kept < math.ceil(originally * it.min_sentence_retention):
             break
         if passes and before_kept and abs(before_kept - kept) / before_kept < it.min_sentence_change_percent / 100:
@@ -329,8 +347,11 @@ def reduce_iterative(text: str, o: Options) -> Reduced:
             break
         passes, best, now = passes + 1, made, made.text
         settled = (before - after) / before < it.min_improvement_percent / 100
+        before = after
+        if passes < it.max_passes and not settled:
+            prose = prose.only(keep)
     if best is None:
-        once = reduce_tfidf(text, o)
+        once = once or _selected(text, prose, _by_score(text, prose, o))
         return Reduced(once.text, once.dropped, [*once.transforms, "iterative:0passes"], {"passCount": 0, "perPassSavings": 0.0, "convergenceReached": False, **once.metrics})
     dropped: list[Dropped] = []
     if originally > before_kept:
@@ -364,54 +385,54 @@ def default_scorer(inputs: list[str]) -> list[float]:
     return out
 
 
-def model_split(found: list[Sentence]) -> list[str]:
+def model_split(prose: Prose) -> list[str]:
     """'keep', 'drop' or 'ask' for every sentence."""
-    n = len(found)
-    score = plain.tfidf([plain.content_words(s.text) for s in found])
-    rising = sorted(score)
+    n = len(prose)
+    score = prose.scores()
+    rising = np.sort(score)
     low, high = rising[math.floor(n * 0.4)], rising[math.floor(n * 0.85)]
     out, listed = [], False
-    for i, s in enumerate(found):
-        if i and "\n\n" in found[i - 1].trailing:
+    for i, text in enumerate(prose.texts):
+        if i and "\n\n" in prose.trailing[i - 1]:
             listed = False
-        listed = listed or bool(rx(P.LIST_ITEM).search(s.text))
-        if i in (0, n - 1) or listed or score[i] >= high or any(rx(p).search(s.text) for p in P.STRUCTURE):
+        listed = listed or bool(rx(P.LIST_ITEM).match(text))
+        if i in (0, n - 1) or listed or score[i] >= high or any(rx(p).search(text) for p in P.STRUCTURE):
             out.append("keep")
         else:
-            out.append("drop" if score[i] <= low and len(s.text) < 200 and not plain.important(s.text) else "ask")
+            out.append("drop" if score[i] <= low and len(text) < 200 and not prose.boosted[i] else "ask")
     return out
 
 
-def model_input(found: list[Sentence], i: int) -> str:
-    before = found[i - 1].text if i else ""
-    after = found[i + 1].text if i + 1 < len(found) else ""
-    return f"[SENTENCE] {found[i].text} [CONTEXT] {trim(f'{before} {found[i].text} {after}')}"[:500]
+def model_input(texts: list[str], i: int) -> str:
+    before = texts[i - 1] if i else ""
+    after = texts[i + 1] if i + 1 < len(texts) else ""
+    return f"[SENTENCE] {texts[i]} [CONTEXT] {trim(f'{before} {texts[i]} {after}')}"[:500]
 
 
 def reduce_model(text: str, o: Options) -> Reduced:
     """Clear cases by TF-IDF percentiles, the rest by a scorer, up to the token budget."""
-    found, total = plain.sentences(text), o.tokens(text)
-    n = len(found)
+    prose, total = Prose.of(text), o.tokens(text)
+    n, texts = len(prose), prose.texts
     if n < 3 or total < 40:
         return Reduced(text, [], ["ml:passthrough"])
-    verdict = model_split(found)
+    verdict = model_split(prose)
     ask = [i for i in range(n) if verdict[i] == "ask"]
     if o.cancelled is not None and o.cancelled():
         raise RuntimeError("cancelled")
-    chance = dict(zip(ask, (o.scorer or default_scorer)([model_input(found, i) for i in ask]) if ask else [], strict=True))
+    chance = dict(zip(ask, (o.scorer or default_scorer)([model_input(texts, i) for i in ask]) if ask else [], strict=True))
     keep = {i for i in range(n) if verdict[i] == "keep"}
-    used, budget = sum(o.tokens(found[i].text) for i in keep), max(1, math.floor(total * (1 - o.target_ratio)))
+    used, budget = sum(o.tokens(texts[i]) for i in keep), max(1, math.floor(total * (1 - o.target_ratio)))
     for i in sorted(ask, key=lambda i: (-chance[i], i)):
         if used >= budget:
             break
         keep.add(i)
-        used += o.tokens(found[i].text)
+        used += o.tokens(texts[i])
     gone = [i for i in range(n) if i not in keep]
     if not gone:
         return Reduced(text, [], ["ml:passthrough"])
     return Reduced(
-        plain.reassemble([found[i] for i in sorted(keep)]),
-        [(f"ML Filter: removed {len(gone)} conversational filler/noise sentences", len(gone), sample(found[gone[0]].text))],
+        prose.text(sorted(keep)),
+        [(f"ML Filter: removed {len(gone)} conversational filler/noise sentences", len(gone), sample(texts[gone[0]]))],
         [f"ml:minilm({n}sentences->{len(keep)}sentences)"], {"sentenceCount": n},
     )
 
@@ -423,9 +444,9 @@ def turns(text: str) -> list[tuple[str, bool]]:
     """(text, spoken by the user) of each turn; what precedes the first speaker is a turn too."""
     out: list[tuple[list[str], bool]] = []
     for line in text.split("\n"):
-        speaker = rx(P.SPEAKER).search(line)
-        if speaker or not out:
-            out.append(([], bool(speaker and rx(P.USER_SPEAKER).search(line))))
+        speaks = plain.speaker(line)
+        if speaks or not out:
+            out.append(([], bool(speaks and plain.anchored(P.USER_SPEAKER, line))))
         out[-1][0].append(line)
     return [("\n".join(rows), user) for rows, user in out]
 

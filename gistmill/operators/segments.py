@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import re
 import time
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
+from json import JSONDecodeError
 
 from gistmill.functions import patterns as P
 from gistmill.functions import plain
+from gistmill.functions.text import parse_json
 from gistmill.operators.reducers import compress_as
 from gistmill.options import LANGUAGE_TYPES, Options
 
@@ -39,33 +43,54 @@ def _bare(raw: str, kind: str) -> Segment:
     return Segment(raw, kind, kind, None, "", raw, "")
 
 
-def balanced(text: str, start: int) -> int | None:
-    """End of the bracket that opens at ``start``; strings are skipped."""
-    depth = 0
+def closings(text: str, start: int) -> dict[int, int]:
+    """Where each bracket from ``start`` on closes, strings skipped; brackets that stay open are missing."""
+    out, open_ = {}, []
     for m in TOKEN.finditer(text, start):
-        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(m[0], 0)
-        if not depth and m[0] in "}]":
-            return m.end()
-    return None
+        if m[0] in "[{":
+            open_.append(m.start())
+        elif m[0] in "]}" and open_:
+            out[open_.pop()] = m.end()
+    return out | dict.fromkeys(open_, -1)
 
 
 def json_spans(text: str) -> list[tuple[int, int]]:
-    """Where JSON of some length stands in a prose region; its bracket is first on its line."""
-    spans, at = [], 0
+    """Where JSON of some length stands in a prose region; its bracket is first on its line.
+
+    One pass over the text tells where all its brackets close; only a bracket
+    that lies in what that pass took for a string needs another.
+    """
+    spans, at, bad = [], 0, -1
+    closes: dict[int, int] = {}
     while m := BRACKET.search(text, at):
-        start = at = m.end() - 1
-        end = balanced(text, start)
-        if end is not None and end - start >= LEAST_JSON and plain.is_json(text[start:end]):
-            spans.append((start, end))
-            at = end
-        else:
-            at = start + 1
+        start = m.end() - 1
+        if start not in closes:
+            closes = closings(text, start) | closes
+            bad = -1
+        end = closes[start]
+        at = start + 1
+        # where an outer value breaks off, the inner ones around that place do too
+        if end - start >= LEAST_JSON and not start <= bad < end:
+            try:
+                parse_json(text[start:end])
+            except (ValueError, RecursionError) as e:
+                bad = start + e.pos if isinstance(e, JSONDecodeError) else -1
+            else:
+                spans.append((start, end))
+                at = end
     return spans
 
 
 def _log_runs(text: str) -> Iterator[Segment]:
+    places = plain.log_places(text)
+    if len(places) < LEAST_RUN:
+        if text:
+            yield _bare(text, "text")
+        return
     lines = LINE.findall(text)
-    kind = ["blank" if not plain.trim(x) else "log" if plain.is_log_line(x) else "other" for x in lines]
+    ends = list(accumulate(map(len, lines)))
+    logs = {bisect_right(ends, p) for p in places}
+    kind = ["log" if i in logs else "other" if plain.trim(x) else "blank" for i, x in enumerate(lines)]
     start = i = 0
     while i < len(lines):
         if kind[i] != "log":
@@ -96,12 +121,14 @@ def _prose(text: str) -> Iterator[Segment]:
 
 def segment(text: str) -> list[Segment]:
     """The segments of a document; an open fence is prose."""
-    lines = LINE.findall(text or "")
-    ends = [i for i, x in enumerate(lines) if FENCE_END.search(x)]
+    if "```" not in (text or ""):
+        return list(_prose(text or ""))
+    lines = LINE.findall(text)
+    ends = [i for i, x in enumerate(lines) if "```" in x and FENCE_END.match(x)]
     out: list[Segment] = []
     prose, i, e = 0, 0, 0
     while i < len(lines):
-        m = FENCE.search(lines[i])
+        m = "```" in lines[i] and FENCE.match(lines[i])
         while e < len(ends) and ends[e] <= i:
             e += 1
         if not m or e == len(ends):
@@ -134,7 +161,7 @@ def segment_text(text: str, o: Options = Options()) -> dict:
     empty = {"compressed": text or "", "original": text or "", "tokensBefore": before, "tokensAfter": before, "tokensSaved": 0, "compressionRatio": 0.0, "segments": [], "dropped": [], "transformsApplied": ["segmenter:0 blocks"]}
     if not parts:
         return empty
-    talk = plain.detect(text)[0] == "conversation"
+    talk = plain.is_conversation(text)
     built, infos, dropped, transforms = [], [], [], [f"segmenter:{len(parts)} blocks"]
     for i, part in enumerate(parts):
         began = time.perf_counter()

@@ -620,14 +620,16 @@ def conversation_turns(spark, sf_dir):
 # Whole results --------------------------------------------------------------
 
 
+BRIEF = ("contentType", "compressed", "tokensBefore", "tokensAfter", "dropped", "transformsApplied")
+
+
 def _brief(df: DataFrame, *keys: str) -> DataFrame:
-    r = lambda n: F.col(f"result.{n}").alias(n)
-    return df.select(*keys, r("contentType"), r("compressed"), r("tokensBefore"), r("tokensAfter"), r("dropped"), r("transformsApplied"))
+    return df.select(*keys, *[F.col(f"result.{n}").alias(n) for n in BRIEF])
 
 
 @query()
 def conversation_compress(spark, sf_dir):
-    return _brief(C.compress_known(rendered(spark, sf_dir), "text", F.lit("conversation")), "conv_id")
+    return _brief(C.compress_known(rendered(spark, sf_dir), "text", F.lit("conversation"), fields=BRIEF), "conv_id")
 
 
 @query()
@@ -638,29 +640,29 @@ def messages_compress(spark, sf_dir):
 @query()
 def iterative_prose(spark, sf_dir):
     o = Options(0.3, iterative=Iterative(max_passes=5, min_sentence_retention=0.2))
-    return _brief(C.compress(table(spark, sf_dir, "documents"), options=o), "doc_id")
+    return _brief(C.compress(table(spark, sf_dir, "documents"), options=o, fields=BRIEF), "doc_id")
 
 
 @query()
 def model_prose(spark, sf_dir):
-    return _brief(C.compress_known(table(spark, sf_dir, "documents"), "text", F.lit("text"), Options(0.5, use_model=True)), "doc_id")
+    return _brief(C.compress_known(table(spark, sf_dir, "documents"), "text", F.lit("text"), Options(0.5, use_model=True), fields=BRIEF), "doc_id")
 
 
 @query()
 def compress_all(spark, sf_dir):
-    return _brief(C.compress(all_texts(spark, sf_dir), "t"), "src")
+    return _brief(C.compress(all_texts(spark, sf_dir), "t", fields=BRIEF), "src")
 
 
 @query()
 def compress_tool_output(spark, sf_dir):
     logs = joined(event_lines(spark, sf_dir)).withColumn("tool", F.lit("journalctl")).unionByName(joined(search_text(spark, sf_dir)).withColumn("tool", F.lit("Grep")))
-    return _brief(C.compress(logs, tool_col="tool"), "doc", "tool")
+    return _brief(C.compress(logs, tool_col="tool", fields=BRIEF), "doc", "tool")
 
 
 @query()
 def json_compress(spark, sf_dir):
     rows = user_items(spark, sf_dir).groupBy("user").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "item")))).alias("text"))
-    return _brief(C.compress(rows, options=Options(0.6)), "user")
+    return _brief(C.compress(rows, options=Options(0.6), fields=BRIEF), "user")
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -695,7 +697,7 @@ def dropped_merge(spark, sf_dir):
 
 @query()
 def telemetry_by_type(spark, sf_dir):
-    return C.telemetry(C.segment_and_compress(mixed(spark, sf_dir))).drop("time_ms")
+    return C.telemetry(C.segment_and_compress(mixed(spark, sf_dir), schema=C.TELEMETRY)).drop("time_ms")
 
 
 # Training data of the model-based reducer -----------------------------------

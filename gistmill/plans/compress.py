@@ -6,49 +6,59 @@ same on batches and streams. Detection and policies are expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gistmill.functions import text as X
 from gistmill.operators import relational
 from gistmill.operators.reducers import compress_as, compress_text
 from gistmill.operators.segments import segment_text
-from gistmill.options import RESULT, SEGMENTED, MessagePolicy, Options
+from gistmill.options import RESULT, SEGMENT, SEGMENTED, MessagePolicy, Options
 
-_RESULT, _SEGMENTED = to_arrow_type(RESULT), to_arrow_type(SEGMENTED)
+#: What ``telemetry`` needs of a segmented result.
+TELEMETRY = T.StructType([T.StructField("segments", T.ArrayType(T.StructType([f for f in SEGMENT.fields if f.name in ("type", "tokensBefore", "tokensAfter", "sentenceCount", "timeMs")])))])
 
 
-def compress_udf(o: Options = Options()):
-    """(text, tool or null) -> result."""
+def some_fields(names: Iterable[str] | None) -> T.StructType:
+    """The result's schema, or a part of it."""
+    return RESULT if names is None else T.StructType([RESULT[n] for n in names])
 
-    @F.arrow_udf(RESULT)
+
+def compress_udf(o: Options = Options(), schema: T.StructType = RESULT):
+    """(text, tool or null) -> result, of which only the fields of ``schema`` leave Python."""
+    made = to_arrow_type(schema)
+
+    @F.arrow_udf(schema)
     def run(texts: pa.Array, tools: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else compress_text(t, o, k) for t, k in zip(texts.to_pylist(), tools.to_pylist(), strict=True)], _RESULT)
+        return pa.array([None if t is None else compress_text(t, o, k) for t, k in zip(texts.to_pylist(), tools.to_pylist(), strict=True)], made)
 
     return run
 
 
-def compress_as_udf(o: Options = Options()):
+def compress_as_udf(o: Options = Options(), schema: T.StructType = RESULT):
     """(text, type, confidence) -> result."""
+    made = to_arrow_type(schema)
 
-    @F.arrow_udf(RESULT)
+    @F.arrow_udf(schema)
     def run(texts: pa.Array, kinds: pa.Array, sure: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else compress_as(t, k, c, o) for t, k, c in zip(texts.to_pylist(), kinds.to_pylist(), sure.to_pylist(), strict=True)], _RESULT)
+        return pa.array([None if t is None else compress_as(t, k, c, o) for t, k, c in zip(texts.to_pylist(), kinds.to_pylist(), sure.to_pylist(), strict=True)], made)
 
     return run
 
 
-def segment_udf(o: Options = Options()):
+def segment_udf(o: Options = Options(), schema: T.StructType = SEGMENTED):
     """text -> segmented result."""
+    made = to_arrow_type(schema)
 
-    @F.arrow_udf(SEGMENTED)
+    @F.arrow_udf(schema)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else segment_text(t, o) for t in texts.to_pylist()], _SEGMENTED)
+        return pa.array([None if t is None else segment_text(t, o) for t in texts.to_pylist()], made)
 
     return run
 
@@ -71,21 +81,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
 
-def compress(df: DataFrame, text_col: str = "text", options: Options = Options(), tool_col: str | None = None, out: str = "result") -> DataFrame:
-    """Adds the result record; ``tool_col`` names the tool that made each text, where known."""
+def compress(df: DataFrame, text_col: str = "text", options: Options = Options(), tool_col: str | None = None, out: str = "result", fields: Iterable[str] | None = None) -> DataFrame:
+    """Adds the result record, or the ``fields`` of it; ``tool_col`` names the tool that made each text, where known."""
     tool = F.col(tool_col).cast("string") if tool_col else F.lit(None).cast("string")
-    return spread(df).withColumn(out, compress_udf(options)(F.col(text_col).cast("string"), tool))
+    return spread(df).withColumn(out, compress_udf(options, some_fields(fields))(F.col(text_col).cast("string"), tool))
 
 
-def compress_known(df: DataFrame, text_col: str, type_col: str | Column, options: Options = Options(), out: str = "result") -> DataFrame:
-    """Adds the result record for texts of known type, without detection."""
+def compress_known(df: DataFrame, text_col: str, type_col: str | Column, options: Options = Options(), out: str = "result", fields: Iterable[str] | None = None) -> DataFrame:
+    """Adds the result record, or the ``fields`` of it, for texts of known type, without detection."""
     kind = F.col(type_col) if isinstance(type_col, str) else type_col
-    return spread(df).withColumn(out, compress_as_udf(options)(F.col(text_col).cast("string"), kind, F.lit(1.0)))
+    return spread(df).withColumn(out, compress_as_udf(options, some_fields(fields))(F.col(text_col).cast("string"), kind, F.lit(1.0)))
 
 
-def segment_and_compress(df: DataFrame, text_col: str = "text", options: Options = Options(), out: str = "result") -> DataFrame:
-    """Adds the segmented result record of mixed documents."""
-    return spread(df).withColumn(out, segment_udf(options)(F.col(text_col).cast("string")))
+def segment_and_compress(df: DataFrame, text_col: str = "text", options: Options = Options(), out: str = "result", schema: T.StructType = SEGMENTED) -> DataFrame:
+    """Adds the segmented result record of mixed documents, or the part of it that ``schema`` holds (``TELEMETRY`` for figures only)."""
+    return spread(df).withColumn(out, segment_udf(options, schema)(F.col(text_col).cast("string")))
 
 
 def compress_messages(
@@ -94,7 +104,7 @@ def compress_messages(
 ) -> DataFrame:
     """The same messages, those that the policy allows reduced; one shuffle on the conversation, for positions from its end."""
     rows = relational.eligible_messages(df, conv_col, turn_col, role_col, text_col, policy)
-    made = compress_udf(options)(F.when(F.col("eligible"), F.col(text_col)), F.lit(None).cast("string"))  # others go as null, at no cost
+    made = compress_udf(options, some_fields(["compressed"]))(F.when(F.col("eligible"), F.col(text_col)), F.lit(None).cast("string"))  # others go as null, at no cost
     return rows.withColumn("__made", made).withColumn(text_col, F.coalesce(F.col("__made.compressed"), F.col(text_col))).drop("__made", "eligible")
 
 

@@ -8,6 +8,7 @@ import pytest
 from gistmill import cli
 from gistmill.functions import plain
 from gistmill.functions import text as X
+from gistmill.functions.prose import Prose
 from gistmill.operators import reducers as R
 from gistmill.operators import relational as L
 from gistmill.options import MessagePolicy, Options
@@ -27,8 +28,9 @@ def test_text_functions_agree(spark):
     for r in got:
         s = r[0]
         assert r[1] == plain.trim(s) and r[2] == plain.important(s) and r[3] == plain.content_words(s) and r[4] == plain.log_template(s) and r[5] == plain.sample(s, 5), s
-        assert [(x.text, x.trailing) for x in r[6]] == [tuple(x) for x in plain.sentences(s)] and r[7] == Options().tokens(s) and r[8] == plain.log_level(s), s
-    assert df.select(X.reassemble(X.sentences(t))).collect()[5][0] == plain.reassemble(plain.sentences(texts[5]))
+        prose = Prose.of(s)
+        assert [(x.text, x.trailing) for x in r[6]] == list(zip(prose.texts, prose.trailing, strict=True)) and r[7] == Options().tokens(s) and r[8] == plain.log_level(s), s
+    assert df.select(X.reassemble(X.sentences(t))).collect()[5][0] == Prose.of(texts[5]).text()
 
 
 def test_detection_agrees(spark, sf):
