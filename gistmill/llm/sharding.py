@@ -9,65 +9,91 @@ Each old shard's documents are laid out along a line of bytes, by a hash of the
 id; the flow cuts the line into what stays and the blocks that move. A document
 goes where its middle lies. As documents cannot be cut, shards come out uneven
 by parts of a document; further solves on the outcome, with the line in falling
-order of size class, move a few of the smallest ones to even that out.
+order of size class, move a few of the smallest ones to even that out. They too
+price a byte against its true old shard.
+
+``reshard_layout`` does the whole job on a layout of Parquet folders: it places
+every row and rewrites the shards that lose or gain one, and leaves the files of
+all others alone. Rows are named by file and row number, so ids may be null or
+occur again.
 
 Defined cases: null texts have no bytes; null ids share a hash; rows that are
 equal throughout may change places; a null old shard is read as shard 0; an
-empty table gives an empty table; other columns play no part.
+empty table gives an empty table, and an empty layout; other columns play no
+part in placing, and are kept in layouts, where the name of the partition column
+is refused.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable, Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, prefix_sum
 
+PART = "__shard"
+#: Weight of a byte's move against that of changing what an earlier solve chose.
+FIRST = 1000
 
-def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[tuple[int, int, int]]:
+
+def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Sequence[Sequence[int]]) -> list[tuple[int, int, int]]:
     """(source, sink, amount) of least total cost; sums of supply and demand are equal.
 
     Successive shortest paths with Bellman-Ford on the residual network, each
     pushing as much as its path takes.
     """
     n, m = len(supply), len(demand)
-    left, room = list(supply), list(demand)
-    flow = [[0] * m for _ in range(n)]
-    far = float("inf")
+    left, room = list(map(int, supply)), list(map(int, demand))
+    flow = np.zeros((n, m), dtype=np.int64)
+    price = np.asarray(cost, dtype=float).reshape(n, m)
     while any(left):
-        at = [0 if x else far for x in left] + [far] * m
-        via: list[int] = [-1] * (n + m)
-        changed = True
-        while changed:
-            changed = False
-            for i in range(n):
-                for j in range(m):
-                    if at[i] + cost[i][j] < at[n + j]:
-                        at[n + j], via[n + j], changed = at[i] + cost[i][j], i, True
-                    if flow[i][j] and at[n + j] - cost[i][j] < at[i]:
-                        at[i], via[i], changed = at[n + j] - cost[i][j], n + j, True
-        end = min((j for j in range(m) if room[j]), key=lambda j: (at[n + j], j))
-        path, v = [], n + end
-        while via[v] >= 0:
-            path.append((via[v], v))
-            v = via[v]
-        push = min(left[v], room[end], *[flow[b][a - n] for a, b in path if a >= n])
-        for a, b in path:
-            if a < n:
-                flow[a][b - n] += push
-            else:
-                flow[b][a - n] -= push
-        left[v] -= push
+        here = np.where(np.asarray(left) > 0, 0.0, np.inf)
+        there = np.full(m, np.inf)
+        came, back = np.full(m, -1), np.full(n, -1)
+        while True:
+            reach = here[:, None] + price
+            best = reach.argmin(0)
+            near = reach[best, np.arange(m)]
+            better = near < there
+            there[better], came[better] = near[better], best[better]
+            undo = np.where(flow > 0, there - price, np.inf)
+            best = undo.argmin(1)
+            near = undo[np.arange(n), best]
+            again = near < here
+            here[again], back[again] = near[again], best[again]
+            if not better.any() and not again.any():
+                break
+        end = min((j for j in range(m) if room[j]), key=lambda j: (there[j], j))
+        path, j = [], end
+        while True:
+            i = int(came[j])
+            path.append((i, j, 1))
+            if back[i] < 0:
+                break
+            j = int(back[i])
+            path.append((i, j, -1))
+        push = min(left[i], room[end], *[int(flow[a, b]) for a, b, sign in path if sign < 0])
+        for a, b, sign in path:
+            flow[a, b] += sign * push
+        left[i] -= push
         room[end] -= push
-    return [(i, j, flow[i][j]) for i in range(n) for j in range(m) if flow[i][j]]
+    return [(int(i), int(j), int(flow[i, j])) for i, j in zip(*np.nonzero(flow), strict=True)]
 
 
-def transfers(sizes: dict[int, int], capacity: list[int], move_cost=None) -> list[tuple[int, int, int]]:
-    """(old shard, new shard, bytes): what stays first, then the blocks that move."""
+def transfers(sizes: dict[Hashable, int], capacity: Sequence[int], price: Callable[[Hashable, int], int] | None = None, home: Callable[[Hashable], int] | None = None) -> list[tuple[Hashable, int, int]]:
+    """(source, new shard, bytes): what stays at ``home`` first, then the blocks that move; spare capacity stays empty."""
+    spare = sum(capacity) - sum(sizes.values())
+    if spare < 0:
+        raise ValueError(f"capacities are {-spare} bytes short")
+    home = home or (lambda i: i)
+    price = price or (lambda i, j: 0 if i == j else 1)
     old = sorted(sizes)
-    price = move_cost or (lambda i, j: 0 if i == j else 1)
-    plan = min_cost_flow([sizes[i] for i in old], capacity, [[price(i, j) for j in range(len(capacity))] for i in old])
-    return sorted(((old[i], j, b) for i, j, b in plan), key=lambda x: (x[0], x[0] != x[1], x[1]))
+    cost = [[price(i, j) for j in range(len(capacity))] for i in old] + [[0] * len(capacity)]
+    plan = min_cost_flow([*(sizes[i] for i in old), spare], capacity, cost)
+    return sorted(((old[i], j, b) for i, j, b in plan if i < len(old)), key=lambda x: (x[0], home(x[0]) != x[1], x[1]))
 
 
 def even(total: int, shards: int) -> list[int]:
@@ -75,62 +101,140 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def _once(rows: DataFrame, capacity: list[int], total_rows: int, by_size: bool, move_cost=None) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def _once(rows: DataFrame, capacity: Sequence[int], total_rows: int, by_size: bool, move_cost: Callable[[int, int], int]) -> DataFrame:
+    """``rows`` with the shards of one solve."""
     spark = rows.sparkSession
-    sizes = {r["shard"]: r["b"] for r in rows.groupBy("shard").agg(F.sum("size").alias("b")).collect()}  # a row per old shard
-    plan = transfers(sizes, capacity, move_cost)
+    # a row per pair of old and present shard; a solve leaves fewer pairs than there are old and new shards together
+    sizes = {(r["old_shard"], r["shard"]): r["b"] for r in rows.groupBy("old_shard", "shard").agg(F.sum("size").alias("b")).collect()}
+    plan = transfers(sizes, capacity, lambda i, j: FIRST * move_cost(i[0], j) + (i[1] != j), lambda i: i[1])
     cuts, at = [], {}
     for i, j, b in plan:
         lo = at.get(i, 0)
         at[i] = lo + b
-        cuts.append((i, lo, lo + b, j))
-    # what is broadcast: at most 128 classes of 8 hash blocks, or 1024 blocks, for each shard, however many rows there are
+        cuts.append((*i, lo, lo + b, j))
+    # what is broadcast: at most 128 classes of 8 hash blocks, or 1024 blocks, for each pair, however many rows there are
     place = (F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4) if by_size else F.lit(0)).cast("int")
     blocks = blocks_for(total_rows, 1, 8) if by_size else blocks_for(total_rows, 256, 1024)
-    line = prefix_sum(rows.withColumn("__class", -place), ["shard"], [F.col("__class"), hash_block(F.col("h"), blocks)], ["h", "doc_id", "crc"], "size", "__at")
-    table = spark.createDataFrame(cuts, "shard int, lo long, hi long, new int")
+    line = prefix_sum(rows.withColumn("__class", -place), ["old_shard", "shard"], [F.col("__class"), hash_block(F.col("h"), blocks)], ["h", "doc_id", "crc"], "size", "__at")
+    table = spark.createDataFrame(cuts, "old_shard int, shard int, lo long, hi long, new int")
     middle = F.col("__at") * 2 + F.col("size")
-    moved = line.join(F.broadcast(table), "shard").where((middle >= F.col("lo") * 2) & (middle < F.col("hi") * 2))
-    return moved.select("doc_id", "size", "crc", "h", F.col("new").alias("shard")), plan
+    moved = line.join(F.broadcast(table), ["old_shard", "shard"]).where((middle >= F.col("lo") * 2) & (middle < F.col("hi") * 2))
+    return moved.withColumn("shard", F.col("new")).select(*rows.columns)
 
 
-def reshard(df: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 3, move_cost=None) -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot): the new place of every row.
-
-    ``size`` is the text's UTF-8 bytes plus 16; new capacities are even.
-    """
+def _sized(df: DataFrame, old_shard: Column, id_col: str, text_col: str, *carry: Column) -> DataFrame:
     raw = F.coalesce(df[text_col].cast("binary"), F.lit(b""))
-    rows = cut(
-        df.select(
-            df[id_col].alias("doc_id"), (F.length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("crc"),
-            id_hash(df[id_col]).alias("h"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("shard"),
-        ), "sizes",
-    )
+    old = F.coalesce(old_shard.cast("int"), F.lit(0))
+    return df.select(df[id_col].alias("doc_id"), (F.length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("crc"), id_hash(df[id_col]).alias("h"), old.alias("old_shard"), old.alias("shard"), *carry)
+
+
+def _place(rows: DataFrame, shards: int, capacities: Sequence[int] | None, passes: int, move_cost) -> tuple[DataFrame, int]:
+    """``rows`` with their new shards, and how many there are."""
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     if not count:
-        return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", F.lit(0).cast("long").alias("slot"))
-    capacity = even(total, shards)
+        return rows, 0
+    capacity = list(capacities) if capacities is not None else even(total, shards)
     for k in range(passes):
-        rows = cut(_once(rows, capacity, count, k > 0, move_cost)[0], "shards")
-    ranked = prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 64))], ["h", "doc_id", "crc"], "__one", "slot")
-    return ranked.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+        rows = cut(_once(rows, capacity, count, k > 0, move_cost or (lambda i, j: int(i != j))), "shards")
+    return rows, count
+
+
+def with_slots(rows: DataFrame, count: int) -> DataFrame:
+    """Adds slot, the gapless place of a row in its shard, by the hash of its id."""
+    if not count:
+        return rows.withColumn("slot", F.lit(0).cast("long"))
+    return prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 64))], ["h", "doc_id", "crc"], "__one", "slot").drop("__one")
 
 
-def rewrite_affected(spark: SparkSession, layout: dict[int, str], placed: DataFrame, out: str, id_col: str = "doc_id") -> dict[int, str]:
-    """Writes the shards whose documents change; returns the new layout.
+def reshard(
+    df: DataFrame, old_shard: Column, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 3, move_cost=None, capacities: Sequence[int] | None = None,
+) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, shard, slot): the new place of every row.
 
-    ``layout`` maps old shards to Parquet folders that hold their rows, and
-    ``placed(doc_id, old_shard, shard)`` says where each row goes. A shard that
-    neither loses nor gains rows keeps its folder unread; the others are written
-    below ``out``, and the old folders stay until the caller drops them.
+    ``size`` is the text's UTF-8 bytes plus 16; new capacities are
+    ``capacities`` (bytes of shards 0, 1, ...) or else even over ``shards``.
+    """
+    rows, count = _place(cut(_sized(df, old_shard, id_col, text_col), "sizes"), shards, capacities, passes, move_cost)
+    return with_slots(rows, count).select("doc_id", "size", F.col("crc").alias("text_crc32"), "old_shard", "shard", "slot")
+
+
+def bytes_moved(placed: DataFrame, capacities: Sequence[int]) -> DataFrame:
+    """One row (moved, least): the bytes that change shards, and the fewest that any division of old shards could move."""
+    room = placed.sparkSession.createDataFrame([(j, c) for j, c in enumerate(capacities)], "old_shard int, room long")
+    old = placed.groupBy("old_shard").agg(F.sum("size").alias("b"), F.sum(F.when(F.col("old_shard") != F.col("shard"), F.col("size")).otherwise(0)).alias("m"))
+    over = old.join(F.broadcast(room), "old_shard", "left")
+    return over.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("moved"), F.coalesce(F.sum(F.greatest(F.lit(0), F.col("b") - F.coalesce("room", F.lit(0)))), F.lit(0)).alias("least"))
+
+
+# Files ---------------------------------------------------------------------
+
+
+def write_layout(df: DataFrame, shard: Column, path: str) -> dict[int, str]:
+    """Writes ``df`` as a folder of Parquet files for each shard; returns shard -> folder."""
+    if PART in df.columns:
+        raise ValueError(f"column {PART} is already there")
+    named = df.withColumn(PART, F.coalesce(shard.cast("int"), F.lit(0)))
+    named.write.partitionBy(PART).parquet(path)
+    return {r[0]: f"{path}/{PART}={r[0]}" for r in named.select(PART).distinct().collect()}  # a row per shard
+
+
+def read_layout(spark: SparkSession, layout: dict[int, str], *metadata: str) -> DataFrame:
+    """The rows of all shards, with the shard as ``__shard`` and fields of Spark's file metadata as columns (``__`` and their name)."""
+    bases: dict[str, list[str]] = {}
+    for folder in layout.values():
+        bases.setdefault(folder.rsplit("/", 1)[0], []).append(folder)
+    out = None
+    for base, folders in sorted(bases.items()):
+        some = spark.read.option("basePath", base).parquet(*sorted(folders))
+        if taken := {f"__{m}" for m in metadata} & set(some.columns):
+            raise ValueError(f"columns {sorted(taken)} are already there")
+        some = some.select("*", *[F.col(f"_metadata.{m}").alias(f"__{m}") for m in metadata]).withColumn(PART, F.col(PART).cast("int"))
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        raise ValueError("an empty layout has no columns")
+    return out
+
+
+def rewrite_affected(spark: SparkSession, layout: dict[int, str], placed: DataFrame, out: str) -> dict[int, str]:
+    """Writes the shards that lose or gain rows below ``out``; returns the new layout.
+
+    ``layout`` is as ``write_layout`` returns it, and ``placed(old_shard,
+    file_name, row_index, shard)`` says where each of its rows goes. The files
+    of other shards stay as they are, unread; old folders stay until the caller
+    drops them.
     """
-    moves = placed.where("old_shard <> shard").select("old_shard", "shard").distinct().collect()  # at most old x new rows
-    touched = sorted({x for r in moves for x in r} | {s for r in placed.select("shard").distinct().collect() for s in r if s not in layout})
+    moves = placed.groupBy("old_shard", "shard").count().collect()  # at most old x new rows
+    gained = {r["shard"] for r in moves}
+    touched = sorted({x for r in moves if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])})
+    kept = {s: p for s, p in layout.items() if s not in touched and s in gained}
     if not touched:
-        return dict(layout)
-    paths = [layout[s] for s in touched if s in layout]
-    rows = spark.read.parquet(*paths)
-    goes = placed.where(F.col("shard").isin(touched)).select(F.col(id_col).alias("__id"), F.col("shard").alias("__shard"))
-    rows.join(goes, rows[id_col].eqNullSafe(goes["__id"])).drop("__id").write.partitionBy("__shard").parquet(out)
-    gained = {r[0] for r in placed.select("shard").distinct().collect()}
-    return {s: p for s, p in layout.items() if s not in touched and s in gained} | {s: f"{out}/__shard={s}" for s in touched if s in gained}
+        return kept
+    rows = read_layout(spark, {s: layout[s] for s in touched if s in layout}, "file_name", "row_index")
+    for name in ("__old", "__name", "__index", "__new"):
+        if name in rows.columns:
+            raise ValueError(f"column {name} is already there")
+    goes = placed.where(F.col("shard").isin(touched)).select(F.col("old_shard").alias("__old"), F.col("file_name").alias("__name"), F.col("row_index").alias("__index"), F.col("shard").alias("__new"))
+    here = (F.col(PART) == F.col("__old")) & (F.col("__file_name") == F.col("__name")) & (F.col("__row_index") == F.col("__index"))
+    moved = rows.join(goes, here).drop(PART, "__old", "__name", "__index", "__file_name", "__row_index").withColumnRenamed("__new", PART)
+    # adaptive execution makes files of ordinary size of large shards, and does not cut small ones up
+    moved.hint("rebalance", PART).write.partitionBy(PART).parquet(out)
+    return kept | {s: f"{out}/{PART}={s}" for s in touched if s in gained}
+
+
+def reshard_layout(
+    spark: SparkSession, layout: dict[int, str], out: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 3, move_cost=None, capacities: Sequence[int] | None = None,
+) -> tuple[dict[int, str], DataFrame]:
+    """The new layout, and ``placed(doc_id, size, crc, h, old_shard, shard, file_name, row_index)``, the rows' places in the old one."""
+    if not layout:
+        return {}, None
+    rows = read_layout(spark, layout, "file_name", "row_index")
+    rows = cut(_sized(rows, F.col(PART), id_col, text_col, F.col("__file_name").alias("file_name"), F.col("__row_index").alias("row_index")), "sizes")
+    placed, _ = _place(rows, shards, capacities, passes, move_cost)
+    return rewrite_affected(spark, layout, placed, out), placed
+
+
+def placed_rows(spark: SparkSession, layout: dict[int, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row that a layout's files hold."""
+    rows = read_layout(spark, layout)
+    rows = cut(_sized(rows, F.col(PART), id_col, text_col), "places")
+    return with_slots(rows, rows.count()).select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")

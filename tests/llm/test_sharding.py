@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pytest
 from gistmill.llm import sharding
 from gistmill.llm.queries import QUERIES
 from pyspark.sql import functions as F
@@ -52,13 +53,53 @@ def test_even_and_odd_rows(spark):
     assert none.count() == 0 and none.columns == out.columns
 
 
-def test_rewrite(spark, tmp_path):
-    layout = {}
-    for s in range(3):
-        layout[s] = f"file://{tmp_path}/old{s}"
-        spark.createDataFrame([(s * 10 + i, f"t{i}") for i in range(5)], "doc_id long, text string").write.parquet(layout[s])
-    placed = spark.createDataFrame([(s * 10 + i, s, 3 if (s, i) == (1, 4) else s) for s in range(3) for i in range(5)], "doc_id long, old_shard int, shard int")
-    new = sharding.rewrite_affected(spark, layout, placed, f"file://{tmp_path}/new")
-    assert new[0] == layout[0] and new[2] == layout[2] and set(new) == {0, 1, 2, 3}
-    assert {s: sorted(r["doc_id"] for r in spark.read.parquet(p).collect()) for s, p in new.items()} == {0: [0, 1, 2, 3, 4], 1: [10, 11, 12, 13], 2: [20, 21, 22, 23, 24], 3: [14]}
-    assert sharding.rewrite_affected(spark, layout, placed.where("shard = old_shard"), "unused") == layout
+def test_capacities(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(2000)], "doc_id long, text string")
+    total = sum(16 + i % 50 for i in range(2000))
+    room = [total // 2, total // 4, total // 4 + 500]
+    out = sharding.reshard(df, F.col("doc_id") % 5, capacities=room)
+    size = {r["shard"]: r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    assert set(size) <= {0, 1, 2} and all(size[j] <= room[j] + 70 for j in size) and set(out.columns) >= {"old_shard", "slot"}
+    with pytest.raises(ValueError, match="short"):
+        sharding.reshard(df, F.lit(0), capacities=[10])
+
+
+def test_bytes_moved_are_near_the_least(spark):
+    rng = random.Random(3)
+    sizes = [rng.randint(0, 3000) for _ in range(5000)]
+    df = spark.createDataFrame([(i, "x" * n, int(rng.random() ** 3 * 6)) for i, n in enumerate(sizes)], "doc_id long, text string, old int")
+    placed = sharding.reshard(df, F.col("old"), shards=8)
+    room = sharding.even(sum(n + 16 for n in sizes), 8)
+    r = sharding.bytes_moved(placed, room).first()
+    # within a document for each block that moves
+    assert r["least"] - 8 * 3016 <= r["moved"] <= r["least"] + 14 * 3016 and 0 < r["least"] < sum(room)
+    got = [b["b"] for b in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(got) - min(got) < 200
+
+
+def shards_of(spark, layout):
+    return {s: sorted(map(repr, map(tuple, spark.read.parquet(p).collect()))) for s, p in layout.items()}
+
+
+def test_rewrite_with_repeated_and_null_ids(spark, tmp_path):
+    rows = [(i % 7 if i % 5 else None, "t" * (i % 90), f"n{i % 3}", i % 4) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, file_name string, s int").repartition(3)
+    layout = sharding.write_layout(df, F.col("s"), f"file://{tmp_path}/old")
+    new, placed = sharding.reshard_layout(spark, layout, f"file://{tmp_path}/new", shards=6)
+    before, after = shards_of(spark, layout), shards_of(spark, new)
+    assert set(new) == set(range(6)) and sorted(x for s in before.values() for x in s) == sorted(x for s in after.values() for x in s)
+    assert {s: len(x) for s, x in after.items()} == {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
+    assert sharding.placed_rows(spark, new).count() == 1200
+    # and again from the mixed layout, to capacities that leave shards 0 to 3 alone
+    size = {r["shard"]: r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    room = [size[0], size[1], size[2], size[3], size[4] - 600, size[5] + 600]
+    last, moved = sharding.reshard_layout(spark, new, f"file://{tmp_path}/last", passes=1, capacities=room)
+    assert {s: last[s] for s in range(4)} == {s: new[s] for s in range(4)} and last[5] != new[5]
+    assert sorted(x for s in shards_of(spark, last).values() for x in s) == sorted(x for s in before.values() for x in s)
+
+
+def test_layouts_refuse_taken_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, __shard int")
+    with pytest.raises(ValueError, match="__shard"):
+        sharding.write_layout(df, F.lit(0), f"file://{tmp_path}/x")
+    assert sharding.reshard_layout(spark, {}, "unused") == ({}, None)
