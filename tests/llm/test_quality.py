@@ -49,6 +49,75 @@ def test_verdicts(spark):
     assert empty.count() == 0 and Q.keep_good(df.limit(0)).count() == 0
 
 
+def cells_of(d2):
+    return np.clip(np.floor(np.log2(np.maximum(d2, 1e-9)) * 16 + Q.CELLS // 2), 0, Q.CELLS - 1)
+
+
+def distances(x, mean, cov):
+    inverse = np.linalg.inv(Q.guarded(cov)).round(15)
+    return np.einsum("ij,jk,ik->i", x - mean.round(6), inverse, x - mean.round(6))
+
+
+def mcd(x, share=0.75):
+    """Centre and scatter of a group by concentration in memory, the smallest determinant of three starts."""
+    n = len(x)
+    coarse = np.floor(x / 16)
+    med = np.floor(np.median(coarse, 0))
+    mad = np.floor(np.median(np.abs(coarse - med), 0))
+    best = None
+    for mean, cov in ((med * 16 + 8, np.diag((1.4826 * 16 * mad) ** 2)), (med * 16 + 8, np.zeros((5, 5))), (x.mean(0), np.cov(x.T, bias=True).reshape(5, 5))):
+        last = np.inf
+        for _ in range(Q.STEPS):
+            cell = cells_of(distances(x, mean, cov))
+            h = max(int(np.ceil(share * n)), min(n, 6))
+            near = x[cell <= np.sort(cell)[h - 1]]
+            new = near.mean(0).round(6), (near.T @ near / len(near) - np.outer(near.mean(0), near.mean(0))).round(6)
+            det = np.linalg.slogdet(Q.guarded(new[1]))[1].round(9)
+            if det >= last - 1e-9:
+                break
+            last, mean, cov = det, *new
+        if best is None or last < best[0]:
+            best = last, mean, cov
+    return best[1], best[2]
+
+
+def plain_verdicts(rows):
+    """id -> kept, by numpy; ``rows`` are (id, lang, source, text)."""
+    kept, groups = {}, {}
+    for i, lang, source, text in rows:
+        w, c, sym, dup, rep = slow_statistics(text)
+        if w < 50 or 100 * rep > 50 * w:
+            kept[i] = False
+        else:
+            lines = text.count("\n") + 1
+            x = np.round(np.array([np.log1p(w), np.log(c / w), np.sqrt(sym / c), np.sqrt(dup / lines), np.sqrt(rep / w)]) * Q.STEP)
+            groups.setdefault((lang, source), []).append((i, x))
+    fits = {g: (len(v), *mcd(np.array([x for _, x in v]))) for g, v in groups.items()}
+
+    def mean_of(some):
+        total = sum(f[0] for f in some)
+        return total, *(sum(f[0] * f[k] for f in some) / total for k in (1, 2))
+
+    mix = lambda f, w: (f[0], *((f[0] * f[k] + Q.SHRINK * w[k]) / (f[0] + Q.SHRINK) for k in (1, 2)))
+    every = mean_of(list(fits.values()))
+    langs = {lang: mix(mean_of([f for g, f in fits.items() if g[0] == lang]), every) for lang in {g[0] for g in fits}}
+    for g, v in groups.items():
+        _, mean, cov = mix(fits[g], langs[g[0]])
+        d2 = distances(np.array([x for _, x in v]), mean, cov)
+        middle = np.sort(cells_of(d2))[(len(d2) + 1) // 2 - 1]
+        scale = max(1.0, 2 ** ((middle + 1 - Q.CELLS // 2) / 16) / Q.CHI2_MEDIAN) ** (len(d2) / (len(d2) + Q.SHRINK))
+        kept |= {i: d <= Q.CHI2_CUT * scale for (i, _), d in zip(v, d2, strict=True)}
+    return kept
+
+
+def test_verdicts_equal_numpy(spark):
+    """All documents of sf0.01, with the shipped number of steps."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text")
+    expect = plain_verdicts([tuple(r) for r in docs.collect()])
+    got = {r["id"]: r["kept"] for r in Q.judge(docs).collect()}
+    assert got == expect and 0.8 < sum(got.values()) / len(got) < 0.99
+
+
 def test_estimate_is_a_concentrated_subset(spark):
     """The scatter equals that of the nearest h documents under itself, computed by brute force."""
     df, _, _ = make(spark, 600)
@@ -56,15 +125,36 @@ def test_estimate_is_a_concentrated_subset(spark):
     from pyspark.sql import functions as F
 
     rows = cut(Q.transformed(Q.statistics(df)).where("n_words >= 50").select(F.lit("g").alias("grp"), *Q.X), "x")
-    model = Q.models(rows, steps=15).first()
+    model = Q.models(rows).first()
     x = np.array([[r[c] for c in Q.X] for r in rows.collect()], float)
-    mean, inverse = np.array(model["mean"]), np.array(model["inverse"]).reshape(5, 5)
-    d2 = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-    near = np.argsort(d2, kind="stable")[: int(np.ceil(0.75 * len(x)))]
-    again = x[near].mean(0)
-    assert np.allclose(again, mean, atol=20) and model["n"] == len(x)
-    cov = np.cov(x[near].T, bias=True) + np.diag([(Q.STEP * f) ** 2 for f in Q.FLOOR.values()])
-    assert np.allclose(np.linalg.inv(inverse), cov, rtol=0.1, atol=60)
+    mean, cov = np.array(model["mean"]), Q.full(model["cov"])
+    cell = cells_of(distances(x, mean, cov))
+    near = x[cell <= np.sort(cell)[int(np.ceil(0.75 * len(x))) - 1]]
+    again = np.linalg.slogdet(Q.guarded(np.cov(near.T, bias=True)))[1]
+    assert model["n"] == len(x) and again >= model["logdet"] - 1e-6 and again < model["logdet"] + 0.05 and np.allclose(near.mean(0), mean, atol=5)
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(20000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    lines = lambda n: "\n".join(text(10) for _ in range(n))
+    rows = [(i, lines(rng.randint(8, 30)), "en", "s") for i in range(300)]
+    one = text(2)
+    rows += [(1000, text(60_000), "en", "s"), (1001, " ".join(w * 2 for w in text(150).split(" ")), "en", "s"), (1002, " ".join(w + "#" for w in text(150).split(" ")), "en", "s")]
+    rows += [(1003, lines(8) + f"\n{one}" * 8, "en", "s"), (1004, text(100) + " " + " ".join([text(8)] * 6), "en", "s"), (1005, lines(20), "en", "s")]
+    got = {r["id"]: (r["base_failed"], r["kept"]) for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[i] for i in range(1000, 1006)] == [(False, False)] * 5 + [(False, True)] and sum(got[i][1] for i in range(300)) >= 298
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """Groups of one to three documents: junk is rejected and ordinary texts are kept."""
+    df, n, m = make(spark, 300)
+    from pyspark.sql import functions as F
+
+    spread = df.withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") / 3).cast("int")))
+    got = {r["id"]: r["kept"] for r in Q.judge(spread.where(f"doc_id < {n + m}")).collect()}
+    assert sum(got[i] for i in range(n)) >= n - 4 and sum(got[i] for i in range(n, n + m)) <= m // 10
 
 
 def test_query(spark, sf):
