@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units after numbers and capitalised words become typed placeholders,
-so that a question with other numbers and names still has the same template.
+Numbers, units after numbers and runs of capitalised words become typed
+placeholders, so that a question with other numbers and names, of however many
+words, still has the same template.
 Each text becomes its sequence of template words; hashes of five-word windows
 are looked up among the benchmark's by an equality join. A document is matched
 to an item if it holds at least ``share`` of the item's distinct windows. Then
@@ -21,16 +22,14 @@ The table of distinct benchmark windows is broadcast only after its rows were
 counted and found to be at most ``broadcast_rows`` (16 bytes each); beyond
 that, both sides are shuffled.
 
-Defined cases: null and empty texts have no windows and match nothing; texts of
-fewer than five words are one window, so they match texts of the same template;
-texts are taken whole; rows that share an id are judged together; repeated
+Defined cases: null and empty texts have no windows and match nothing; texts are taken whole; rows that share an id are judged together; repeated
 items each match; an empty table gives an empty table; other columns play no
 part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.llm._util import cut
@@ -55,25 +54,29 @@ def template(text: Column, values: bool, fold: bool = False) -> Column:
     unit = "$2" if values else ""
     out = F.regexp_replace(out, rf"({CLOSE}[ \x{{A0}}]?)({'|'.join(sorted(units, key=len, reverse=True))})(?!\p{{L}})", f"$1 {UNIT}{unit}{CLOSE}")
     if not fold:
-        out = F.regexp_replace(out, rf"(?<![\p{{L}}{UNIT}])\p{{Lu}}\p{{L}}*", f"{NAME}{keep}{CLOSE}")
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}{UNIT}])\p{{Lu}}\p{{L}}*(?:[ \-]\p{{Lu}}\p{{L}}*)*", f"{NAME}{keep}{CLOSE}")
     return F.regexp_extract_all(out, F.lit(rf"[{NAME}-{UNIT}][^{CLOSE}]*{CLOSE}|\p{{L}}+"), F.lit(0))
 
 
-def windows(words: Column) -> Column:
-    """Hashes of the five-word windows of an array; of fewer words, of all of them."""
+def windows(words: Column, widths: tuple[int, ...] = ()) -> Column:
+    """array<struct<at, h>>: hashes of the five-word windows of an array, and of those of some smaller widths; of fewer words, of all of them."""
     n = F.size(words)
-    ends = F.sequence(F.lit(1), F.greatest(n - (WIDTH - 1), F.lit(1)))
-    return F.when(n > 0, F.transform(ends, lambda i: F.xxhash64(F.slice(words, i, WIDTH))))
+
+    def of(width: int, least: int) -> Column:
+        ends = F.when(n >= least, F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(ends, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(words, i, width)).alias("h")))
+
+    return F.concat(of(WIDTH, 1), *[of(w, w + 1) for w in widths])
 
 
 def benchmark_windows(items: DataFrame, item_col: str, text_col: str, least_words: int = 3, fold: bool = False) -> DataFrame:
-    """(item, h, pos): the windows of every item that count; ``item_col`` must not be null."""
+    """(item, n_words, h, pos): the windows of every item that count; ``item_col`` must not be null."""
     rows = items.select(items[item_col].alias("item"), template(items[text_col].cast("string"), False, fold).alias("words"))
     plain = lambda i: F.size(F.filter(F.slice("words", i + 1, WIDTH), lambda w: ~w.startswith(NAME) & ~w.startswith(NUMBER) & ~w.startswith(UNIT)))
-    some = rows.select("item", "words", F.posexplode(windows(F.col("words"))).alias("pos", "h"))
-    some = some.select("item", "h", "pos", (plain(F.col("pos")) >= least_words).alias("telling"))
+    some = rows.select("item", "words", F.explode(windows(F.col("words"))).alias("w")).select("item", "words", "w.h", F.col("w.at").alias("pos"))
+    some = some.select("item", F.size("words").alias("n_words"), "h", "pos", (plain(F.col("pos")) >= least_words).alias("telling"))
     any_telling = some.groupBy("item").agg(F.max("telling").alias("any"))
-    return some.join(any_telling, "item").where(F.col("telling") | ~F.col("any")).select("item", "h", "pos")
+    return some.join(any_telling, "item").where(F.col("telling") | ~F.col("any")).select("item", "n_words", "h", "pos")
 
 
 def contaminated(
@@ -96,22 +99,34 @@ def _matched(rows: DataFrame, named: DataFrame, share: float, consistency: float
     bench = cut(benchmark_windows(named, "item", "text", least_words, fold), "benchmark")
     known = cut(bench.select("h").distinct(), "windows")
     small = known.count() <= broadcast_rows
+    short = tuple(sorted(r[0] for r in bench.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect()))  # at most four
     # the words are a column of their own, else every window would make them anew
-    looked_up = rows.select("doc", template(F.col("text"), False, fold).alias("words")).select("doc", F.posexplode(windows(F.col("words"))).alias("at", "h"))
+    looked_up = rows.select("doc", template(F.col("text"), False, fold).alias("words")).select("doc", F.explode(windows(F.col("words"), short)).alias("w")).select("doc", "w.at", "w.h")
     hits = cut(looked_up.join(F.broadcast(known) if small else known, "h"), "hits")
-    pairs = hits.join(bench, "h")
-    need = bench.groupBy("item").agg(F.countDistinct("h").alias("n_windows"))
+    need = bench.groupBy("item").agg(F.countDistinct("h").alias("n_windows"), F.first("n_words").alias("n_words"))
+    pairs = cut(_proposed(hits, bench, need, share), "pairs")
     got = pairs.groupBy("doc", "item").agg(F.countDistinct("h").alias("n_matched"))
     found = cut(got.join(need, "item").where(F.col("n_matched") >= share * F.col("n_windows")), "matched")
     slots = _slots(rows, named, found, pairs, fold)
     slots = slots.withColumnsRenamed({"doc": "sdoc", "item": "sitem"})
     return (
         found.join(slots, F.col("doc").eqNullSafe(F.col("sdoc")) & (F.col("item") == F.col("sitem")), "left")
-        .select("doc", "item", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
-        .where(F.col("n_consistent") >= consistency * F.col("n_slots"))
+        .select("doc", "item", "n_words", "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+        .where((F.col("n_consistent") >= consistency * F.col("n_slots")) & (F.col("verbatim") | (F.col("n_words") >= WIDTH))).drop("n_words")
     )
 
 
+def _proposed(hits: DataFrame, bench: DataFrame, need: DataFrame, share: float) -> DataFrame:
+    """(doc, item, h, at, pos): the common windows of documents and items that share one of the item's rarest."""
+    often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    one = bench.select("item", "h").distinct().join(often, "h", "left").join(need, "item")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "h"))  # an item's windows: bounded by its length
+    rare = one.withColumn("rank", rank).where(F.col("rank") <= F.col("n_windows") - F.ceil(F.col("n_windows") * share) + 1).where("often IS NOT NULL")
+    found = hits.join(rare.select("h", "item"), "h").select(F.col("doc").alias("pdoc"), "item").distinct()
+    wide = found.join(bench.select("item", "h", "pos"), "item").withColumnRenamed("h", "ph")
+    return hits.join(wide, F.col("doc").eqNullSafe(F.col("pdoc")) & (F.col("h") == F.col("ph"))).select("doc", "item", "h", "at", "pos")
+
+
 def _slots(rows: DataFrame, items: DataFrame, found: DataFrame, pairs: DataFrame, fold: bool) -> DataFrame:
     """(doc, item, n_slots, n_consistent, verbatim): fillers compared along the main alignment."""
     key = ["doc", "item"]
