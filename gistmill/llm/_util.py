@@ -25,13 +25,15 @@ def _remove(spark: SparkSession, root: str) -> None:
 def workspace(spark: SparkSession) -> str:
     """Folder for intermediate tables, below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    is made.
+    Only where that setting is absent and all runs on one machine (tests) a
+    temporary folder is made; elsewhere its absence is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="gistmill-")
         _ROOTS[app] = f"{shared.rstrip('/')}/gistmill-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
