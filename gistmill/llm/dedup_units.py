@@ -12,10 +12,14 @@ keep the offsets (in characters) of the original text.
 A passage that begins in mid-sentence is found from its first sentence start
 on.
 
+Documents are named by id and by a hash of their text, so rows with null or
+repeated ids are told apart.
+
 Defined cases: null and empty texts have no units; texts are taken whole; a
-null id ranks last; rows that share an id share their occurrences, so what one
-of them keeps the other keeps; an empty table gives an empty table; other
-columns play no part.
+null id ranks last; rows that share id and text share their occurrences, so what
+one of them keeps the other keeps, and their spans are listed once; of rows that
+share an id only, the smaller hash ranks first; an empty table gives an empty
+table; other columns play no part, and a column ``removed`` is refused.
 """
 
 from __future__ import annotations
@@ -65,59 +69,64 @@ def text_units(text: str | None, min_words: int) -> list[tuple[int, int, int, in
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """(id, start, end, seq, last, hi, lo): one row per unit."""
+    """(id, doc, start, end, seq, last, hi, lo): one row per unit; ``doc`` is the hash of its text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a, b in _slices(whole.column(1), 1_000_000):
+            for a, b in _slices(whole.column(2), 1_000_000):
                 batch = whole.slice(a, b - a)
                 found, row = [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
+                for i, text in enumerate(batch.column(2).to_pylist()):
                     u = text_units(text, min_words)
                     found += u
                     row += [i] * len(u)
                 if not found:
                     continue
                 start, end, seq, last, digest = zip(*found, strict=True)
-                cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(seq, pa.int64()), pa.array(last, pa.int64())]
+                at = pa.array(row, pa.int64())
+                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(seq, pa.int64()), pa.array(last, pa.int64())]
                 cols += [pa.array([(d >> 64) - HALF for d in digest], pa.int64()), pa.array([(d & (2 * HALF - 1)) - HALF for d in digest], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "start", "end", "seq", "last", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "doc", "start", "end", "seq", "last", "hi", "lo"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, start long, end long, seq long, last long, hi long, lo long"
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("doc"), text.alias("text")).mapInArrow(
+        run, f"id {kind}, doc long, start long, end long, seq long, last long, hi long, lo long"
     )
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """(id, start, end, n_units, first_id, first_start): what goes, as spans of the original texts.
+    """(id, doc, start, end, n_units, first_id, first_start): what goes, as spans of the original texts.
 
     ``first_id`` and ``first_start`` name the occurrence that stays of the
     span's first unit.
     """
     with small_batches(docs.sparkSession):
         table = cut(units(docs, id_col, text_col, min_words), "units")
-    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("start").alias("start"))
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("doc").alias("doc"), F.col("start").alias("start"))
     same = table.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
     gone = (
         table.join(cut(same, "repeated"), ["hi", "lo"])
-        .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))))
-        .select("id", "start", "end", "seq", "last", "first")
+        .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))))
+        .select("id", "doc", "start", "end", "seq", "last", "first")
+        .dropDuplicates(["id", "doc", "start", "end", "seq", "last"])  # of rows that are equal throughout
     )
-    doc = Window.partitionBy("id").orderBy("seq", F.desc("last"), "start")
+    doc = Window.partitionBy("id", "doc").orderBy("seq", F.desc("last"), "start")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     gone = gone.withColumn("new", F.when(F.col("seq") <= F.coalesce(F.max("last").over(before), F.lit(-9)) + 1, 0).otherwise(1))
     gone = gone.withColumn("island", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return gone.groupBy("id", "island").agg(
+    return gone.groupBy("id", "doc", "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.min_by("first", F.struct("start", "seq")).alias("first")
-    ).select("id", "start", "end", "n_units", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    ).select("id", "doc", "start", "end", "n_units", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of the text, and the spans as ``removed`` (array of start, end)."""
-    per = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")).withColumnRenamed("id", "__id")
+    if "removed" in docs.columns:
+        raise ValueError("column removed is already there")
+    per = spans.groupBy("id", "doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")).withColumnsRenamed({"id": "__id", "doc": "__doc"})
     rows, inner, back = masked(docs)
-    rows = rows.join(per, F.col(inner[id_col]).eqNullSafe(F.col("__id")), "left")
+    rows = rows.join(per, F.col(inner[id_col]).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(inner[text_col]).cast("string")) == F.col("__doc")), "left")
     text, none = F.col(inner[text_col]), F.array().cast("array<struct<start:bigint,end:bigint>>")
     spans_here = F.coalesce("removed", none)
     keep_from = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_here, lambda s: s["end"]))

@@ -43,7 +43,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_units.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
+    return dedup_units.repeated_spans(_table(spark, sf_dir, "documents")).drop("doc").withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from gistmill.llm import dedup_units as D
 
 
@@ -51,3 +52,21 @@ def test_spans(spark, sf):
     for r in D.repeated_spans(spark.read.parquet(f"{sf}/documents.parquet")).orderBy("start").collect():
         got.setdefault(r["id"], []).append((r["start"], r["end"]))
     assert got == brute(docs)
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(1, f"{P1}\nfirst"), (1, f"{P1}\nsecond"), (None, f"{P2}\nthird"), (None, f"{P2}\nfourth"), (None, f"{P2}\nfourth"), (2, P1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = [(r["doc_id"], r["text"]) for r in D.remove_spans(df, D.repeated_spans(df)).collect()]
+    texts = [t for _, t in cut]
+    assert len(cut) == 6 and sum(P1 in t for t in texts) == 1 and texts.count("") == 1
+    # equal rows are one document: both keep the passage, or both lose it
+    assert sum(P2 in t for t in texts) in (1, 2) and len({t for t in texts if "fourth" in t}) == 1
+    with pytest.raises(ValueError, match="removed"):
+        D.remove_spans(df.withColumn("removed", df["text"]), D.repeated_spans(df))
+
+
+def test_one_very_long_text(spark):
+    text = "\n".join(f"line number {i} of a very long text with more than eight words" for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id int, text string")
+    assert [(r["id"], r["start"], r["end"]) for r in D.repeated_spans(df).collect()] == [(2, 0, len(text))]
