@@ -7,13 +7,16 @@ most one. Every segment is therefore indexed under its one-wildcard variants
 distinct fingerprint. An equality on these keys brings all links together, and
 each candidate is verified by its Hamming distance.
 
-Groups of copies never make pairs: equal fingerprints are one vertex, and in a
-key with many fingerprints only a spanning forest of its links is emitted.
-Keys above ``max_bucket`` fingerprints are taken out and their members linked by
-an exact route whose work is linear: each fingerprint emits every point within
-two bit flips, and those that share a point are within four of each other,
-while any two within four share one; so a star per point gives the same
-components.
+Groups of copies never make pairs: equal fingerprints are one vertex, and where
+many fingerprints remain together only a spanning forest of their links is
+emitted. Within a key, fingerprints meet again by parts: of five interleaved
+parts of 64 bits, two fingerprints within four bits have one in common, so a
+key's members are compared part by part in groups some hundred times smaller.
+Keys above ``max_bucket`` fingerprints, too many for one task, are dealt by those
+parts to tasks of their own. What is above it even then is linked by an exact
+route whose work is linear: each fingerprint emits every point within two bit
+flips, and those that share a point are within four of each other, while any two
+within four share one; so a star per point gives the same components.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; texts are taken whole; repeated rows and ids each keep a row; a null
@@ -97,8 +100,13 @@ def _forest(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield np.full(len(near), fp[at]), fp[near]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among rows sorted by key: all pairs of small keys, a forest of others."""
+#: Masks of five interleaved parts of a fingerprint.
+PARTS = [sum(1 << b for b in range(p, 64, DISTANCE + 1)) for p in range(DISTANCE + 1)]
+SIGNED = [m - (1 << 64) if m >> 63 else m for m in PARTS]
+
+
+def _links(key: np.ndarray, fp: np.ndarray, small: int, parts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among rows sorted by key: all pairs of small keys; of others part by part, at last a forest."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
     out = []
@@ -109,7 +117,14 @@ def _links(key: np.ndarray, fp: np.ndarray, small: int) -> tuple[np.ndarray, np.
         if ok.any():
             out.append((f[:-d][ok], f[d:][ok]))
     for s, n in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
-        out += list(_forest(fp[s : s + n]))
+        group = fp[s : s + n]
+        if not parts:
+            out += list(_forest(group))
+            continue
+        for mask in SIGNED:
+            part = group & mask
+            order = np.argsort(part, kind="stable")
+            out.append(_links(part[order], group[order], small, False))
     if not out:
         return fp[:0], fp[:0]
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -145,12 +160,19 @@ def links(fps: DataFrame, max_bucket: int = 50_000, small: int = 64) -> DataFram
         if rows:
             yield from flush(True)
 
-    table = variants(fps)
-    hot = cut(table.groupBy("key").count().where(F.col("count") > max_bucket).select("key"), "hot")
+    def apart(table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of ordinary keys, and of those with too many fingerprints."""
+        hot = cut(table.groupBy("key").count().where(F.col("count") > max_bucket).select("key"), "hot")
+        return (table, None) if hot.isEmpty() else (table.join(hot, "key", "left_anti"), table.join(hot, "key", "left_semi"))
+
     exact = None
-    if not hot.isEmpty():
-        exact = _midpoint_links(table.join(hot, "key", "left_semi").select("fp").distinct())
-        table = table.join(hot, "key", "left_anti")
+    table, large = apart(variants(fps))
+    if large is not None:
+        parts = F.array(*[F.xxhash64("key", F.lit(p), F.col("fp").bitwiseAND(F.lit(m))) for p, m in enumerate(SIGNED)])
+        some, still = apart(cut(large.select(F.explode(parts).alias("key"), "fp"), "parts"))
+        table = table.union(some)
+        if still is not None:
+            exact = _midpoint_links(still.select("fp").distinct())
     found = table.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
     return found if exact is None else found.union(exact)
 
@@ -173,9 +195,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(fingerprints(df, id_col, text_col, width), "fp")
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     root = components(links(fps.select("fp"), max_bucket))
-    known = fps.join(root, fps.fp == root.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    known = cut(known, "known")
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    # only fingerprints that are linked go by component; all others name themselves
+    linked = cut(root.select(F.col("vertex").alias("fp"), "root").union(root.select("root", "root").distinct()), "linked")
+    known = linked.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    named = cut(linked.join(known, "root").select("fp", "component"), "components")
+    named = fps.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return rows.join(named, "fp").select("id", "fp", "component")
 
 

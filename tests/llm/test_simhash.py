@@ -59,7 +59,7 @@ def test_links_on_clusters_by_every_route(spark):
     fps = sorted(set(clustered(1)))
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     expect = slow_components([int(np.uint64(f).view(np.int64)) for f in fps], fps)
-    for bucket, small in ((50_000, 64), (50_000, 2), (5, 64)):  # pairs, forests, and the linear route for large keys
+    for bucket, small in ((50_000, 64), (50_000, 8), (50_000, 2), (40, 64), (5, 64)):  # pairs, parts, forests, parts in tasks of their own, and the linear route
         root = {r["vertex"]: r["root"] for r in components(S.links(df, bucket, small)).collect()}
         got = [root.get(int(np.uint64(f).view(np.int64)), int(np.uint64(f).view(np.int64))) for f in fps]
         assert got == expect, (bucket, small)
