@@ -40,8 +40,22 @@ def workspace(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{workspace(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def dropping(spark: SparkSession):
+    """Deletes the tables made inside but the last, which must be a written one that needs none of the others."""
+    began = len(_MADE)
+    yield
+    for path in _MADE[began:-1]:
+        _remove(spark, path)
+    del _MADE[began:-1]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -21,12 +21,14 @@ are taken.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, masked, prefix_sum
+from gistmill.llm.token_counts import count_tokens
 
 RESULT = ("bucket", "bucket_len", "batch", "slot")
 
@@ -48,24 +50,26 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     n = len(histogram)
     if not n:
         return []
-    length = [0, *[x for x, _ in histogram]]
-    count = [0]
+    # arrays of machine numbers: a long histogram takes some 100 bytes a row
+    length = array("q", [0, *(x for x, _ in histogram)])
+    count = array("q", [0])
     for _, c in histogram:
         count.append(count[-1] + c)
-    cost: list[int | None] = [0] + [None] * n
-    back: list[list[int]] = []
+    none = -1
+    cost = array("q", [0]) + array("q", [none]) * n
+    back: list[array] = []
     best = None
     for k in range(1, min(buckets, n) + 1):
         lines: deque[int] = deque()
-        now: list[int | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
+        now = array("q", [none]) * (n + 1)
+        came = array("i", [0]) * (n + 1)
 
         def at(i: int, x: int) -> int:
             return cost[i] - count[i] * x
 
         for j in range(1, n + 1):
             i = j - 1
-            if cost[i] is not None:
+            if cost[i] != none:
                 while len(lines) > 1:  # the middle line is nowhere strictly below both
                     a, b = lines[-2], lines[-1]
                     if (cost[i] - cost[a]) * (count[b] - count[a]) <= (cost[b] - cost[a]) * (count[i] - count[a]):
@@ -113,10 +117,18 @@ def pack(df: DataFrame, id_col: str, length_col: str, buckets: int = 8, budget:
     return ranked.withColumn("batch", F.floor(F.col("__rank") / per).cast("long")).withColumn("slot", (F.col("__rank") % per).cast("long")).select(*back, *RESULT).withColumnsRenamed(back)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536) -> DataFrame:
-    """(id, n_tokens, bucket, bucket_len, batch, slot) of every document."""
-    narrow = cut(docs.select(docs[id_col], token_estimate(docs[text_col]).alias("n_tokens")), "lengths")
-    return pack(narrow, id_col, "n_tokens", buckets, budget)
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 8, budget: int = 65_536, tokenizer: str | None = None) -> DataFrame:
+    """(id, n_tokens, bucket, bucket_len, batch, slot) of every document.
+
+    Lengths are the exact token counts of a ``tokenizer`` (the path of its
+    file), or else estimates, a fourth of the characters.
+    """
+    if tokenizer is None:
+        narrow = docs.select(docs[id_col], token_estimate(docs[text_col]).alias("n_tokens"))
+    else:
+        some = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text"))
+        narrow = count_tokens(some, "text", tokenizer).select(F.col("__id").alias(id_col), "n_tokens")
+    return pack(cut(narrow, "lengths"), id_col, "n_tokens", buckets, budget)
 
 
 def oracle(documents: str = "documents", buckets: int = 8, budget: int = 65_536) -> str:

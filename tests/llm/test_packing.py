@@ -40,3 +40,16 @@ def test_odd_rows(spark, same_as_sql):
     assert {r["__h"] for r in packing.pack(extra, "doc_id", "n").collect()} == {"mine"}
     with pytest.raises(ValueError, match="already there"):
         packing.pack(docs, "doc_id", "doc_id")
+
+
+def test_exact_lengths(spark, sf):
+    import public_tokenizers
+    from gistmill.llm.queries import QUERIES
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = {r["doc_id"]: r for r in packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer=path).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == {r["doc_id"]: r["n_tokens"] for r in QUERIES["op3_token_counts"](spark, sf).collect()}
+    batches = {}
+    for r in got.values():
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r["bucket_len"])
+    assert all(sum(b) <= 65_536 or len(b) == 1 for b in batches.values())

@@ -3,7 +3,7 @@
 import corpus_pipeline as C
 from gistmill.llm import packing
 from gistmill.llm.queries import QUERIES
-from test_simhash import slow_components, slow_fingerprint
+from test_neardup import slow_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,7 +16,7 @@ def test_stages_against_brute_force(spark, sf):
     assert first.columns == COLUMNS and {r["doc_id"] for r in first.collect()} == kept
 
     ids = [r["doc_id"] for r in rows]
-    comp = slow_components(ids, [slow_fingerprint(r["text"]) for r in rows])
+    comp = slow_components(ids, [r["text"] for r in rows])
     alone = {i for i, c in zip(ids, comp, strict=True) if i == c}
     second = C.simhash_dedup(spark, first, sf)
     assert {r["doc_id"] for r in second.collect()} == alone and second.columns == COLUMNS
@@ -35,6 +35,8 @@ def test_stages_against_brute_force(spark, sf):
 
     last = C.run(spark, sf)
     assert {r["doc_id"] for r in last.collect()} == got
+    exact = {r["doc_id"]: r["n_tokens"] for r in packing.pack_documents(fourth, tokenizer=C.tokenizer()).collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in last.collect()} == exact
     ends = packing.optimal_boundaries(sorted((r["n_tokens"], r["count"]) for r in last.groupBy("n_tokens").count().collect()), 8)
     assert {r["bucket_len"] for r in last.collect()} == set(ends)
 
