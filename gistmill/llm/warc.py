@@ -5,8 +5,9 @@ Writing. Spark's text writer makes the files, with the record terminator
 system by the usual commit protocol. Of pages with equal payloads the one with
 the smallest id becomes a response, the others revisit it.
 
-Reading. The text reader splits files at the magic line ``WARC/1.1``, wherever
-it stands, payloads included. Tasks turn each piece into a candidate record
+Reading. The text reader splits files at ``WARC/1.``, wherever it stands,
+payloads included; versions 1.0 and 1.1 are read, also with a gzip member for
+each record, and ids of other makers stay as they are. Tasks turn each piece into a candidate record
 with the offset of its successor. Candidates are then contracted within each
 file split (pointer jumping in arrays), the few entries of the splits are
 resolved from the file's start by pointer jumping over a table, and only what
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import numpy as np
 import pandas as pd
@@ -32,9 +34,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm._util import cut
+from gistmill.llm._util import cut, dropping
 
-MAGIC = "WARC/1.1\r\n"
+#: What records start with, and the versions that may follow; ours comes first.
+MAGIC = "WARC/1."
+VERSIONS = (b"1\r\n", b"0\r\n")
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,14 +70,15 @@ def write_archives(
         pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[payload_col].cast("binary").alias("payload")
     )
     rows = rows.withColumn("payload", payload).withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.length("payload").cast("long"))
-    again = cut(revisits(cut(rows.select("id", "digest", "size"), "digests"), least_bytes), "revisits")
+    with dropping(pages.sparkSession):
+        again = cut(revisits(cut(rows.select("id", "digest", "size"), "digests"), least_bytes), "revisits")
     rows = rows.join(again, ["id", "digest"], "left")
     urn = lambda c: F.concat(F.lit(f"<{ID}"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
     again_here = F.col("refers").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + VERSIONS[0].decode()),
         line("WARC-Type", F.when(again_here, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("id"))),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
@@ -97,12 +102,12 @@ PIECE = T.StructType([
 
 
 def _header(piece: bytes) -> tuple[dict[str, str], int] | None:
-    """Fields and length of the header that a piece starts with, if it does."""
+    """Fields and length of the header (version first) that a piece starts with, if it does."""
     end = piece.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or not piece.startswith(VERSIONS):
         return None
     fields = {}
-    for line in piece[:end].split(b"\r\n"):
+    for line in piece[3:end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -113,7 +118,9 @@ def _header(piece: bytes) -> tuple[dict[str, str], int] | None:
 
 
 def _id(urn: str | None) -> str | None:
-    return urn[len(ID) + 1 : -1] if urn and urn.startswith(f"<{ID}") and urn.endswith(">") else None
+    """An id of our own in plain, any other as it is."""
+    bare = urn[1:-1] if urn and urn.startswith("<") and urn.endswith(">") else urn
+    return (unquote_plus(bare.removeprefix(ID)) if bare and bare.startswith(ID) else bare) or None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +203,23 @@ def chain(cand: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(id, url, payload_bytes, payload_digest, record_type, refers_to): one row per record on the chain."""
+    """(id, url, payload_bytes, payload_digest, record_type, refers_to, digest_ok): one row per record on the chain.
+
+    ``digest_ok`` says whether the payload has the SHA-1 that its record
+    declares; null where it declares none, and for revisits.
+    """
     source = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    pieces = cut(source.mapInArrow(_candidates, PIECE), "pieces")
-    split = pieces.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = split.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    pieces = cut(pieces.join(base, ["file", "block"]).withColumn("off", F.col("base") + F.col("rel") - M), "placed")
+    with dropping(spark):
+        pieces = cut(source.mapInArrow(_candidates, PIECE), "pieces")
+        split = pieces.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
+        before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        base = split.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+        pieces = cut(pieces.join(base, ["file", "block"]).withColumn("off", F.col("base") + F.col("rel") - M), "placed")
     cand = pieces.where("length IS NOT NULL").select("file", "block", "off", (F.col("off") + F.col("length")).alias("to"))
-    true = cut(chain(cand), "chain")
+    with dropping(spark):
+        true = cut(chain(cand), "chain")
     records = pieces.where("length IS NOT NULL").join(true, ["file", "off"], "left_semi")
     whole = records.where("sha1 IS NOT NULL").select("file", "off", "type", "id", "url", "refers", "declared", "full", F.upper("sha1").alias("sha1"))
     parted = cut(records.where("sha1 IS NULL").select("file", "off", "length", "lead", "full", "type", "id", "url", "refers", "declared"), "parted")
@@ -217,9 +230,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     )
     return whole.select(
-        F.url_decode(F.nullif("id", F.lit(""))).alias("id"), "url", F.col("full").alias("payload_bytes"),
+        "id", "url", F.col("full").alias("payload_bytes"),
         F.when(F.col("type") == "revisit", F.col("declared")).otherwise(real).alias("payload_digest"),
-        F.col("type").alias("record_type"), F.url_decode(F.nullif("refers", F.lit(""))).alias("refers_to"),
+        F.col("type").alias("record_type"), F.col("refers").alias("refers_to"),
+        F.when((F.col("type") != "revisit") & F.col("declared").rlike("^[A-Z2-7]{32}$"), F.col("declared") == real).alias("digest_ok"),
     )
 
 

@@ -68,3 +68,25 @@ def test_query(spark, sf, same_as_sql):
     df = QUERIES["op2_warc"](spark, sf)
     assert dict(df.dtypes) == {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
     assert found(df.selectExpr("cast(page_id as string) id", "payload_bytes", "payload_digest", "record_type", "cast(refers_to as string) refers_to")) == expected(pages)
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """Version 1.0, a gzip member for each record, warcinfo and request records, uuid ids, a wrong digest."""
+    import gzip
+
+    def record(kind, uuid, body, *more, version="1.0"):
+        head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid}>", *more, f"Content-Length: {len(body)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    sha = lambda x: "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    page = b"<p>WARC/1.0\r\nWARC-Type: x</p> WARC/1.1\r\n"
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + page
+    some = [record("warcinfo", "a+b", b"software: x\r\n"), record("request", "r1", b"GET / HTTP/1.1\r\n\r\n"), record("response", "p1", http, "WARC-Target-URI: http://x/", sha(page)), record("response", "p2", b"HTTP/1.0 200\r\n\r\nhi", sha(b"other"), version="1.1"), record("resource", "p3", b"no http")]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, some)))
+    (tmp_path / "y.warc").write_bytes(b"".join(some).replace(b"urn:uuid:", b"urn:uuid:2"))
+    rows = {r["id"]: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert set(rows) == {f"urn:uuid:{n}{i}" for n in ("", "2") for i in ("a+b", "r1", "p1", "p2", "p3")}
+    for n in ("", "2"):
+        got = rows[f"urn:uuid:{n}p1"]
+        assert (got["payload_bytes"], got["payload_digest"], got["digest_ok"], got["url"]) == (len(page), sha(page)[-32:], True, "http://x/")
+        assert rows[f"urn:uuid:{n}p2"]["digest_ok"] is False and rows[f"urn:uuid:{n}p3"]["digest_ok"] is None and rows[f"urn:uuid:{n}p3"]["payload_bytes"] == 7
