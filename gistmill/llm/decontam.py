@@ -29,6 +29,8 @@ part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,27 +55,39 @@ def template(text: Column, values: bool, fold: bool = False) -> Column:
     out = F.regexp_replace(text, r"(?<![\p{L}\d])\d+(?:[.,:/]\d+)*", f"{NUMBER}{keep}{CLOSE}")
     unit = "$2" if values else ""
     out = F.regexp_replace(out, rf"({CLOSE}[ \x{{A0}}]?)({'|'.join(sorted(units, key=len, reverse=True))})(?!\p{{L}})", f"$1 {UNIT}{unit}{CLOSE}")
+    out = F.when(text.rlike(r"\d"), out).otherwise(text)  # without a number there is no unit either
     if not fold:
         out = F.regexp_replace(out, rf"(?<![\p{{L}}{UNIT}])\p{{Lu}}\p{{L}}*(?:[ \-]\p{{Lu}}\p{{L}}*)*", f"{NAME}{keep}{CLOSE}")
     return F.regexp_extract_all(out, F.lit(rf"[{NAME}-{UNIT}][^{CLOSE}]*{CLOSE}|\p{{L}}+"), F.lit(0))
 
 
-def windows(words: Column, widths: tuple[int, ...] = ()) -> Column:
-    """array<struct<at, h>>: hashes of the five-word windows of an array, and of those of some smaller widths; of fewer words, of all of them."""
-    n = F.size(words)
+def hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the hashes of ``words`` as ``__h``, a column of its own, so that windows do not make them anew."""
+    return rows.withColumn("__h", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def windows(words: Column) -> Column:
+    """Hashes of the five-word windows of an array; of fewer words, of all of them. Needs the column of ``hashed``."""
+    n, h = F.size(words), F.col("__h")
+    mixed = lambda i: reduce(lambda a, k: a.bitwiseXOR(F.shiftleft(h[i + k], 3 * k)), range(1, WIDTH), h[i])  # noqa: E731  much cheaper than a hash of the slice
+    return F.when(n >= WIDTH, F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), mixed)).when(n > 0, F.array(F.xxhash64(words)))
+
 
-    def of(width: int, least: int) -> Column:
-        ends = F.when(n >= least, F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+def placed_windows(words: Column, widths: tuple[int, ...]) -> Column:
+    """array<struct<at, h>>: ``windows`` with their places, and those of some smaller widths in longer texts."""
+    def of(width: int) -> Column:
+        ends = F.when(F.size(words) > width, F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(ends, lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(words, i, width)).alias("h")))
 
-    return F.concat(of(WIDTH, 1), *[of(w, w + 1) for w in widths])
+    whole = F.transform(F.coalesce(windows(words), F.array().cast("array<bigint>")), lambda h, i: F.struct(i.alias("at"), h.alias("h")))
+    return F.concat(whole, *[of(w) for w in widths])
 
 
 def benchmark_windows(items: DataFrame, item_col: str, text_col: str, least_words: int = 3, fold: bool = False) -> DataFrame:
     """(item, n_words, h, pos): the windows of every item that count; ``item_col`` must not be null."""
     rows = items.select(items[item_col].alias("item"), template(items[text_col].cast("string"), False, fold).alias("words"))
     plain = lambda i: F.size(F.filter(F.slice("words", i + 1, WIDTH), lambda w: ~w.startswith(NAME) & ~w.startswith(NUMBER) & ~w.startswith(UNIT)))
-    some = rows.select("item", "words", F.explode(windows(F.col("words"))).alias("w")).select("item", "words", "w.h", F.col("w.at").alias("pos"))
+    some = hashed(rows).select("item", "words", F.posexplode(windows(F.col("words"))).alias("pos", "h"))
     some = some.select("item", F.size("words").alias("n_words"), "h", "pos", (plain(F.col("pos")) >= least_words).alias("telling"))
     any_telling = some.groupBy("item").agg(F.max("telling").alias("any"))
     return some.join(any_telling, "item").where(F.col("telling") | ~F.col("any")).select("item", "n_words", "h", "pos")
@@ -100,8 +114,11 @@ def _matched(rows: DataFrame, named: DataFrame, share: float, consistency: float
     known = cut(bench.select("h").distinct(), "windows")
     small = known.count() <= broadcast_rows
     short = tuple(sorted(r[0] for r in bench.where(F.col("n_words") < WIDTH).select("n_words").distinct().collect()))  # at most four
-    # the words are a column of their own, else every window would make them anew
-    looked_up = rows.select("doc", template(F.col("text"), False, fold).alias("words")).select("doc", F.explode(windows(F.col("words"), short)).alias("w")).select("doc", "w.at", "w.h")
+    looked_up = hashed(rows.select("doc", template(F.col("text"), False, fold).alias("words")))
+    if short:
+        looked_up = looked_up.select("doc", F.explode(placed_windows(F.col("words"), short)).alias("w")).select("doc", "w.at", "w.h")
+    else:
+        looked_up = looked_up.select("doc", F.posexplode(windows(F.col("words"))).alias("at", "h"))
     hits = cut(looked_up.join(F.broadcast(known) if small else known, "h"), "hits")
     need = bench.groupBy("item").agg(F.countDistinct("h").alias("n_windows"), F.first("n_words").alias("n_words"))
     pairs = cut(_proposed(hits, bench, need, share), "pairs")

@@ -131,7 +131,7 @@ def test_a_phrase_of_the_whole_benchmark_makes_few_pairs(spark):
     docs = spark.createDataFrame([(i, f"a page that says {phrase} and no more, number {i}") for i in range(300)], "doc_id int, text string").union(items.where("item_id < 3"))
     rows = docs.select(F.col("doc_id").alias("doc"), "text")
     bench = D.benchmark_windows(items, "item_id", "text")
-    hits = rows.select("doc", D.template(F.col("text"), False).alias("words")).select("doc", F.explode(D.windows(F.col("words"))).alias("w")).select("doc", "w.at", "w.h").join(bench.select("h").distinct(), "h")
+    hits = D.hashed(rows.select("doc", D.template(F.col("text"), False).alias("words"))).select("doc", F.posexplode(D.windows(F.col("words"))).alias("at", "h")).join(bench.select("h").distinct(), "h")
     need = bench.groupBy("item").agg(F.countDistinct("h").alias("n_windows"), F.first("n_words").alias("n_words"))
     assert D._proposed(hits, bench, need, 0.8).select("doc", "item").distinct().count() <= 6 < hits.count()
     assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect()} == {(i, i) for i in range(3)}
