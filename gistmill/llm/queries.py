@@ -47,11 +47,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    kind = _table(spark, sf_dir, "documents").schema["doc_id"].dataType.simpleString()
     old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(24))  # so far a shard held whole sources
-    layout = sharding.write_layout(docs.select("doc_id", "text", "source"), old, fresh_path(spark, "old-layout"))
-    none = "doc_id {}, size long, text_crc32 long, shard int, slot long".format(docs.schema["doc_id"].dataType.simpleString())
-    layout, _ = sharding.reshard_layout(spark, layout, fresh_path(spark, "new-layout"), shards=40)
+    layout, _ = sharding.reshard_files(spark, f"{sf_dir}/documents.parquet", old, fresh_path(spark, "layout"), shards=40)
+    none = f"doc_id {kind}, size long, text_crc32 long, shard int, slot long"
     placed = sharding.placed_rows(spark, layout) if layout else spark.createDataFrame([], none)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

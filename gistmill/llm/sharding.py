@@ -12,10 +12,14 @@ by parts of a document; further solves on the outcome, with the line in falling
 order of size class, move a few of the smallest ones to even that out. They too
 price a byte against its true old shard.
 
-``reshard_layout`` does the whole job on a layout of Parquet folders: it places
-every row and rewrites the shards that lose or gain one, and leaves the files of
-all others alone. Rows are named by file and row number, so ids may be null or
-occur again.
+Each solve leaves a rule: a row of a table for each block, with the first key
+(size class, hash, id, checksum, file, row number) of the block. Rules are as
+few as shards, so they are broadcast, and files are rewritten in one scan that
+looks every row's new shard up; texts are shuffled once, to the files of their
+shard. Rows are told apart by file and row number, so ids may be null or occur
+again. ``reshard_layout`` does the whole job on a layout of Parquet folders,
+``reshard_files`` on any Parquet files; shards that neither lose nor gain a row
+keep their files.
 
 Defined cases: null texts have no bytes; null ids share a hash; rows that are
 equal throughout may change places; a null old shard is read as shard 0; an
@@ -29,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, prefix_sum
@@ -101,8 +105,20 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def _once(rows: DataFrame, capacity: Sequence[int], total_rows: int, by_size: bool, move_cost: Callable[[int, int], int]) -> DataFrame:
-    """``rows`` with the shards of one solve."""
+KEY = ("h", "doc_id", "crc", "file_name", "row_index")
+
+
+def _class(by_size: bool) -> Column:
+    return (-F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4) if by_size else F.lit(0)).cast("int")
+
+
+def _key(by_size: bool) -> Column:
+    """Where a row stands on its line; no two rows of files stand in one place."""
+    return F.struct(_class(by_size).alias("class"), *KEY)
+
+
+def _once(rows: DataFrame, capacity: Sequence[int], total_rows: int, by_size: bool, move_cost: Callable[[int, int], int]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the shards of one solve, and its rule (old_shard, shard, new, lo, hi)."""
     spark = rows.sparkSession
     # a row per pair of old and present shard; a solve leaves fewer pairs than there are old and new shards together
     sizes = {(r["old_shard"], r["shard"]): r["b"] for r in rows.groupBy("old_shard", "shard").agg(F.sum("size").alias("b")).collect()}
@@ -113,37 +129,54 @@ def _once(rows: DataFrame, capacity: Sequence[int], total_rows: int, by_size: bo
         at[i] = lo + b
         cuts.append((*i, lo, lo + b, j))
     # what is broadcast: at most 128 classes of 8 hash blocks, or 1024 blocks, for each pair, however many rows there are
-    place = (F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4) if by_size else F.lit(0)).cast("int")
     blocks = blocks_for(total_rows, 1, 8) if by_size else blocks_for(total_rows, 256, 1024)
-    line = prefix_sum(rows.withColumn("__class", -place), ["old_shard", "shard"], [F.col("__class"), hash_block(F.col("h"), blocks)], ["h", "doc_id", "crc"], "size", "__at")
+    line = prefix_sum(rows.withColumn("__class", _class(by_size)), ["old_shard", "shard"], [F.col("__class"), hash_block(F.col("h"), blocks)], list(KEY), "size", "__at")
     table = spark.createDataFrame(cuts, "old_shard int, shard int, lo long, hi long, new int")
     middle = F.col("__at") * 2 + F.col("size")
     moved = line.join(F.broadcast(table), ["old_shard", "shard"]).where((middle >= F.col("lo") * 2) & (middle < F.col("hi") * 2))
-    return moved.withColumn("shard", F.col("new")).select(*rows.columns)
+    moved = cut(moved.select(*rows.columns, "new"), "placed")
+    pair = Window.partitionBy("old_shard", "shard").orderBy("lo")
+    rule = moved.groupBy("old_shard", "shard", "new").agg(F.min(_key(by_size)).alias("lo"))  # a block's places have nothing of another in between
+    rule = cut(rule.withColumn("hi", F.lead("lo").over(pair)), "rule")
+    return moved.withColumn("shard", F.col("new")).drop("new"), rule
+
+
+def _follow(rows: DataFrame, rules: list[DataFrame]) -> DataFrame:
+    """``rows`` with the shards that the rules of successive solves give them."""
+    for k, rule in enumerate(rules):
+        r = rule.select(F.col("old_shard").alias("__o"), F.col("shard").alias("__s"), F.col("new").alias("__n"), "lo", "hi")
+        here = (F.col("old_shard") == F.col("__o")) & (F.col("shard") == F.col("__s")) & (F.col("__k") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("__k") < F.col("hi")))
+        rows = rows.withColumn("__k", _key(k > 0)).join(F.broadcast(r), here).withColumn("shard", F.col("__n")).drop("__k", "__o", "__s", "__n", "lo", "hi")
+    return rows
 
 
-def _sized(df: DataFrame, old_shard: Column, id_col: str, text_col: str, *carry: Column) -> DataFrame:
+def _sized(df: DataFrame, old_shard: Column, id_col: str, text_col: str, file: Column | None = None, row: Column | None = None, *carry: Column) -> DataFrame:
     raw = F.coalesce(df[text_col].cast("binary"), F.lit(b""))
     old = F.coalesce(old_shard.cast("int"), F.lit(0))
-    return df.select(df[id_col].alias("doc_id"), (F.length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("crc"), id_hash(df[id_col]).alias("h"), old.alias("old_shard"), old.alias("shard"), *carry)
+    return df.select(
+        df[id_col].alias("doc_id"), (F.length(raw).cast("long") + 16).alias("size"), F.crc32(raw).alias("crc"), id_hash(df[id_col]).alias("h"), old.alias("old_shard"), old.alias("shard"),
+        (F.lit("") if file is None else file).alias("file_name"), (F.lit(0) if row is None else row).cast("long").alias("row_index"), *carry,
+    )
 
 
-def _place(rows: DataFrame, shards: int, capacities: Sequence[int] | None, passes: int, move_cost) -> tuple[DataFrame, int]:
-    """``rows`` with their new shards, and how many there are."""
+def _place(rows: DataFrame, shards: int, capacities: Sequence[int] | None, passes: int, move_cost) -> tuple[DataFrame, int, list[DataFrame]]:
+    """``rows`` with their new shards, how many there are, and the rules of the solves."""
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    rules: list[DataFrame] = []
     if not count:
-        return rows, 0
+        return rows, 0, rules
     capacity = list(capacities) if capacities is not None else even(total, shards)
     for k in range(passes):
-        rows = cut(_once(rows, capacity, count, k > 0, move_cost or (lambda i, j: int(i != j))), "shards")
-    return rows, count
+        rows, rule = _once(rows, capacity, count, k > 0, move_cost or (lambda i, j: int(i != j)))
+        rules.append(rule)
+    return rows, count, rules
 
 
 def with_slots(rows: DataFrame, count: int) -> DataFrame:
     """Adds slot, the gapless place of a row in its shard, by the hash of its id."""
     if not count:
         return rows.withColumn("slot", F.lit(0).cast("long"))
-    return prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 64))], ["h", "doc_id", "crc"], "__one", "slot").drop("__one")
+    return prefix_sum(rows.withColumn("__one", F.lit(1)), ["shard"], [hash_block(F.col("h"), blocks_for(count, 64))], list(KEY), "__one", "slot").drop("__one")
 
 
 def reshard(
@@ -154,7 +187,7 @@ def reshard(
     ``size`` is the text's UTF-8 bytes plus 16; new capacities are
     ``capacities`` (bytes of shards 0, 1, ...) or else even over ``shards``.
     """
-    rows, count = _place(cut(_sized(df, old_shard, id_col, text_col), "sizes"), shards, capacities, passes, move_cost)
+    rows, count, _ = _place(cut(_sized(df, old_shard, id_col, text_col), "sizes"), shards, capacities, passes, move_cost)
     return with_slots(rows, count).select("doc_id", "size", F.col("crc").alias("text_crc32"), "old_shard", "shard", "slot")
 
 
@@ -195,42 +228,58 @@ def read_layout(spark: SparkSession, layout: dict[int, str], *metadata: str) ->
     return out
 
 
-def rewrite_affected(spark: SparkSession, layout: dict[int, str], placed: DataFrame, out: str) -> dict[int, str]:
-    """Writes the shards that lose or gain rows below ``out``; returns the new layout.
-
-    ``layout`` is as ``write_layout`` returns it, and ``placed(old_shard,
-    file_name, row_index, shard)`` says where each of its rows goes. The files
-    of other shards stay as they are, unread; old folders stay until the caller
-    drops them.
-    """
+def _rewrite(rows: DataFrame, old_shard: Column, id_col: str, text_col: str, placed: DataFrame, rules: list[DataFrame], out: str, drop: Sequence[str]) -> tuple[set[int], set[int]]:
+    """Writes the shards of ``rows`` (with __file_name, __row_index) that lose or gain below ``out``; returns these, and all that hold rows."""
     moves = placed.groupBy("old_shard", "shard").count().collect()  # at most old x new rows
     gained = {r["shard"] for r in moves}
-    touched = sorted({x for r in moves if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])})
-    kept = {s: p for s, p in layout.items() if s not in touched and s in gained}
-    if not touched:
-        return kept
-    rows = read_layout(spark, {s: layout[s] for s in touched if s in layout}, "file_name", "row_index")
-    for name in ("__old", "__name", "__index", "__new"):
+    touched = {x for r in moves if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])}
+    if touched:
+        if PART in drop:
+            rows = rows.where(F.col(PART).isin(sorted(touched)))  # the folders of other shards are not read
+        kept = [c for c in rows.columns if c not in ("__file_name", "__row_index", *drop)]
+        back = {f"__c{i}": c for i, c in enumerate(kept)}
+        wide = _sized(rows, old_shard, id_col, text_col, F.col("__file_name"), F.col("__row_index"), *[F.col(f"`{c}`").alias(k) for k, c in back.items()])
+        moved = _follow(wide, rules).where(F.col("shard").isin(sorted(touched))).select(*back, F.col("shard").alias(PART)).withColumnsRenamed(back)
+        # adaptive execution makes files of ordinary size of large shards, and does not cut small ones up
+        moved.hint("rebalance", PART).write.partitionBy(PART).parquet(out)
+    return touched, gained
+
+
+def reshard_files(
+    spark: SparkSession, path: str, old_shard: Column, out: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 3, move_cost=None, capacities: Sequence[int] | None = None,
+) -> tuple[dict[int, str], DataFrame]:
+    """The layout that the rows of the Parquet files at ``path`` are written to, and ``placed`` as of ``reshard_layout``."""
+    rows = spark.read.parquet(path)
+    for name in (PART, "__file_name", "__row_index"):
         if name in rows.columns:
             raise ValueError(f"column {name} is already there")
-    goes = placed.where(F.col("shard").isin(touched)).select(F.col("old_shard").alias("__old"), F.col("file_name").alias("__name"), F.col("row_index").alias("__index"), F.col("shard").alias("__new"))
-    here = (F.col(PART) == F.col("__old")) & (F.col("__file_name") == F.col("__name")) & (F.col("__row_index") == F.col("__index"))
-    moved = rows.join(goes, here).drop(PART, "__old", "__name", "__index", "__file_name", "__row_index").withColumnRenamed("__new", PART)
-    # adaptive execution makes files of ordinary size of large shards, and does not cut small ones up
-    moved.hint("rebalance", PART).write.partitionBy(PART).parquet(out)
-    return kept | {s: f"{out}/{PART}={s}" for s in touched if s in gained}
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file_name"), F.col("_metadata.row_index").alias("__row_index"))
+    sized = cut(_sized(rows, old_shard, id_col, text_col, F.col("__file_name"), F.col("__row_index")), "sizes")
+    placed, _, rules = _place(sized, shards, capacities, passes, move_cost)
+    # shards that stay as they are have no files of their own yet, so all are written
+    return _written(_rewrite(rows, old_shard, id_col, text_col, placed.withColumn("old_shard", F.lit(-1)), rules, out, ())[1], out), placed
+
+
+def _written(shards: set[int], out: str) -> dict[int, str]:
+    return {s: f"{out}/{PART}={s}" for s in sorted(shards)}
 
 
 def reshard_layout(
     spark: SparkSession, layout: dict[int, str], out: str, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", passes: int = 3, move_cost=None, capacities: Sequence[int] | None = None,
 ) -> tuple[dict[int, str], DataFrame]:
-    """The new layout, and ``placed(doc_id, size, crc, h, old_shard, shard, file_name, row_index)``, the rows' places in the old one."""
+    """The new layout, and ``placed(doc_id, size, crc, h, old_shard, shard, file_name, row_index)``, the rows' places in the old one.
+
+    ``layout`` is as ``write_layout`` returns it. The files of shards that
+    neither lose nor gain rows stay as they are; those of others are written
+    below ``out``, and old folders stay until the caller drops them.
+    """
     if not layout:
         return {}, None
-    rows = read_layout(spark, layout, "file_name", "row_index")
-    rows = cut(_sized(rows, F.col(PART), id_col, text_col, F.col("__file_name").alias("file_name"), F.col("__row_index").alias("row_index")), "sizes")
-    placed, _ = _place(rows, shards, capacities, passes, move_cost)
-    return rewrite_affected(spark, layout, placed, out), placed
+    rows = read_layout(spark, layout, "file_path", "row_index").withColumnRenamed("__file_path", "__file_name")
+    sized = cut(_sized(rows, F.col(PART), id_col, text_col, F.col("__file_name"), F.col("__row_index")), "sizes")
+    placed, _, rules = _place(sized, shards, capacities, passes, move_cost)
+    touched, gained = _rewrite(rows, F.col(PART), id_col, text_col, placed, rules, out, (PART,))
+    return {s: p for s, p in layout.items() if s in gained - touched} | _written(touched & gained, out), placed
 
 
 def placed_rows(spark: SparkSession, layout: dict[int, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
