@@ -35,11 +35,11 @@ class Reduced:
     metrics: dict = field(default_factory=dict)
 
 
-def _keep_share(o: Options) -> float:
+def keep_share(o: Options) -> float:
     return max(0.05, 1 - o.target_ratio)
 
 
-def _bias(o: Options) -> float:
+def bias(o: Options) -> float:
     return 0.7 + (1 - o.target_ratio) * 0.6
 
 
@@ -91,7 +91,7 @@ def _representative(items: list, o: Options) -> tuple[list, int, str | None]:
     """Head, evenly spaced middle and tail of an array, and how many items that leaves out."""
     n = len(items)
     texts = [_dump(x) for x in items]
-    k = optimal_k(texts, _bias(o), 5, max(5, math.floor(n * _keep_share(o))))
+    k = optimal_k(texts, bias(o), 5, max(5, math.floor(n * keep_share(o))))
     if k >= n:
         return items, 0, None
     head, tail = max(1, k // 2), max(1, k // 4)
@@ -182,13 +182,13 @@ def reduce_search(text: str, o: Options) -> Reduced:
     at = [i for i, m in enumerate(hits) if m]
     if not at:
         return Reduced(text, [], ["search:passthrough"])
-    most = max(3, math.floor(10 * _keep_share(o)))
+    most = max(3, math.floor(10 * keep_share(o)))
     files: dict[str, list[str]] = defaultdict(list)
     for i in at:
         files[hits[i][1]].append(lines[i])
     out, dropped, kept = lines[: at[0]], [], 0
     for file, found in files.items():
-        k = len(found) if len(found) <= most else optimal_k(found, _bias(o), 3, most)
+        k = len(found) if len(found) <= most else optimal_k(found, bias(o), 3, most)
         out += found[:k]
         kept += len(found[:k])
         if rest := found[k:]:
@@ -275,7 +275,7 @@ def reduce_plain(text: str, o: Options) -> Reduced:
     squeezed = "\n".join(rows)
     dropped: list[Dropped] = [("excess blank lines", gone, None)] if gone else []
     tokens, n = o.tokens(squeezed), len(rows)
-    budget = o.max_tokens if o.max_tokens is not None else math.floor(tokens * _keep_share(o))
+    budget = o.max_tokens if o.max_tokens is not None else math.floor(tokens * keep_share(o))
     head, tail = max(1, math.floor(n * 0.6)), max(1, math.floor(n * 0.2))
     middle = n - head - tail
     if tokens <= budget * 1.5 or n <= 10 or middle <= 0:

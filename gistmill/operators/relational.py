@@ -8,12 +8,16 @@ explicit columns, as rows have no order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions import patterns as P
 from gistmill.functions import text as X
 from gistmill.operators import reducers as R
+from gistmill.operators import sizing
+from gistmill.options import Options
 
 
 def explode_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,6 +102,21 @@ def reduce_search(lines: DataFrame, id_col: str, most: int) -> DataFrame:
     return kept.select(id_col, "file_pos", "file", "rank", F.when(F.col("rank") <= most, F.col("line")).otherwise(note).alias("line"))
 
 
+def compress_search(lines: DataFrame, id_col: str, o: Options) -> DataFrame:
+    """(id, file, file_pos, rank, line): per file as many matches as carry information, and a note of how many more there are.
+
+    Files with few matches keep them all; only the others' lines are put
+    together, file by file, to be sized.
+    """
+    most = max(3, math.floor(10 * R.keep_share(o)))
+    found = search_matches(lines, id_col)
+    many = found.where(F.col("total") > most).groupBy(id_col, "file").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("x"))
+    size = many.select(F.col(id_col).alias("__id"), F.col("file").alias("__file"), sizing.optimal_k_of(R.bias(o), 3, most)(F.transform("x", lambda r: r["line"])).alias("__k"))
+    rows = found.join(size, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("file") == F.col("__file")), "left").withColumn("k", F.coalesce("__k", "total")).where(F.col("rank") <= F.col("k") + 1)
+    note = F.concat(F.lit("[... "), F.col("total") - F.col("k"), F.lit(" more matches in "), F.col("file"), F.lit(" ...]"))
+    return rows.select(id_col, "file", "file_pos", "rank", F.when(F.col("rank") <= F.col("k"), F.col("line")).otherwise(note).alias("line"))
+
+
 # Code, HTML and plain text as one expression per text ----------------------
 
 

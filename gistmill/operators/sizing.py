@@ -184,6 +184,16 @@ def optimal_k_udf(items: pd.Series) -> pd.Series:
     return items.map(lambda x: None if x is None else optimal_k(list(x))).astype("Int32")
 
 
+def optimal_k_of(bias: float, least: int, most: int):
+    """(items) -> how many to keep, with these settings."""
+
+    @F.pandas_udf(T.IntegerType())
+    def run(items: pd.Series) -> pd.Series:
+        return items.map(lambda x: None if x is None else optimal_k(list(x), bias, least, most)).astype("Int32")
+
+    return run
+
+
 @F.pandas_udf(T.IntegerType())
 def count_unique_udf(items: pd.Series) -> pd.Series:
     return items.map(lambda x: None if x is None else count_unique(list(x))).astype("Int32")

@@ -7,6 +7,7 @@ diff lines from lineitem, search results from part, code from documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -576,21 +577,64 @@ def knee(spark, sf_dir):
     return sizing.knees(sizing.coverage_curve(user_items(spark, sf_dir), "user", "pos", "item"), "user", "pos", "n")
 
 
-@query()
+def _fingerprints_sql(src: str) -> str:
+    """(grp, pos, f): 64-bit majority fingerprints of ``src(grp, pos, item)``, hash by hash in 128-bit integers."""
+    h = "14695981039346656037::HUGEINT"
+    for k in range(4):
+        h = f"CASE WHEN u[i + {k}] IS NULL THEN {h} ELSE (xor({h}, u[i + {k}]) * 1099511628211) & 18446744073709551615::HUGEINT END"
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+    return f"""SELECT grp, pos, {bits} AS f FROM (SELECT grp, pos, CAST({h} AS UBIGINT) AS h FROM (SELECT grp, pos, u, unnest(range(1, greatest(2, len(u) - 2))) AS i
+FROM (SELECT grp, pos, list_transform(list_filter(string_split(lower(item), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS HUGEINT)) AS u FROM ({src})))) GROUP BY grp, pos"""
+
+
+def _clusters_sql(src: str) -> str:
+    """(grp, clusters): leaders within three bits, one item after another."""
+    near = "bit_count(CAST(xor(x, f.f) AS BIT)) <= 3"
+    return f"""WITH RECURSIVE f AS MATERIALIZED ({_fingerprints_sql(src)}), l AS (SELECT grp, pos, [f] AS leaders FROM f WHERE pos = 0
+UNION ALL SELECT l.grp, f.pos, CASE WHEN len(list_filter(l.leaders, lambda x: {near})) = 0 THEN list_append(l.leaders, f.f) ELSE l.leaders END FROM l JOIN f ON f.grp = l.grp AND f.pos = l.pos + 1)
+SELECT grp, max(len(leaders)) AS clusters FROM l GROUP BY grp"""
+
+
+def _knee_sql(src: str) -> str:
+    """(grp, knee): where the number of distinct word pairs up to each item bends."""
+    pairs = "CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda k: w[k] || chr(0) || w[k + 1]) ELSE [coalesce(w[1], '')] END"
+    curve = f"""SELECT i.grp, i.pos, CAST(sum(coalesce(f.new, 0)) OVER (PARTITION BY i.grp ORDER BY i.pos) AS BIGINT) AS n FROM ({src}) i
+LEFT JOIN (SELECT grp, pos, count(*) AS new FROM (SELECT grp, pair, min(pos) AS pos FROM (SELECT grp, pos, unnest({pairs}) AS pair FROM (SELECT *, list_filter(string_split_regex(lower(item), '\\s+'), lambda x: x <> '') AS w FROM ({src}))) GROUP BY 1, 2) GROUP BY 1, 2) f ON f.grp = i.grp AND f.pos = i.pos"""
+    return f"""SELECT grp, CASE WHEN c < 3 THEN NULL WHEN hi = lo THEN 1 WHEN d >= 0.05 THEN spot + 1 END AS knee FROM (
+SELECT grp, max(c) AS c, max(lo) AS lo, max(hi) AS hi, max(d) AS d, arg_max(pos, (d, -pos)) AS spot FROM (
+SELECT *, (n - lo) / nullif(hi - lo, 0) - pos / nullif(c - 1, 0) AS d FROM (SELECT *, count(*) OVER w AS c, min(n) OVER w AS lo, max(n) OVER w AS hi FROM ({curve}) WINDOW w AS (PARTITION BY grp))) GROUP BY grp)"""
+
+
+def _optimal_k_sql(src: str, bias: float, least: int, most: str) -> str:
+    """(grp, n, k): how many items of each group to keep; ``most`` is an expression of n."""
+    held = lambda k: f"greatest({least}, least(greatest({least}, {k}), {most}))"
+    return f"""SELECT grp, n, CAST(CASE WHEN n <= 8 THEN least(n, {most}) WHEN c <= 3 THEN {held('c')} ELSE {held(f'floor(bend * {bias!r}::DOUBLE)')} END AS BIGINT) AS k FROM (
+SELECT *, CASE WHEN knee IS NULL THEN spread WHEN c / n > 0.7::DOUBLE THEN greatest(knee, spread) ELSE knee END AS bend FROM (
+SELECT *, greatest({least}, floor(n * (0.3::DOUBLE + 0.7::DOUBLE * (c / n)))) AS spread FROM (
+SELECT z.grp, z.n, c.clusters AS c, b.knee FROM (SELECT grp, count(*) AS n FROM ({src}) GROUP BY grp) z JOIN ({_clusters_sql(src)}) c ON c.grp = z.grp JOIN ({_knee_sql(src)}) b ON b.grp = z.grp)))"""
+
+
+GROUPED_SQL = f'SELECT "user" AS grp, pos, item FROM ({ITEMS_SQL})'
+TEXTS_SQL = "SELECT doc_id AS grp, 0 AS pos, text AS item FROM documents"
+
+
+@query(f"SELECT grp AS doc_id, CAST(CASE WHEN f >= {1 << 63}::UBIGINT THEN CAST(f AS HUGEINT) - {1 << 64}::HUGEINT ELSE f END AS BIGINT) AS fingerprint FROM ({_fingerprints_sql(TEXTS_SQL)})")
 def simhash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", sizing.simhash64(F.col("text")).alias("fingerprint"))
 
 
-@query()
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_items(spark, sf_dir).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda r: r["item"]).alias("items"))
+
+
+@query(f'SELECT c.grp AS "user", CAST(n AS INTEGER) AS n, CAST(clusters AS INTEGER) AS clusters FROM ({_clusters_sql(GROUPED_SQL)}) c JOIN (SELECT "user" AS grp, count(*) AS n FROM ({ITEMS_SQL}) GROUP BY 1) z ON z.grp = c.grp')
 def near_dup_clusters(spark, sf_dir):
-    items = user_items(spark, sf_dir).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda r: r["item"]).alias("items"))
-    return items.select("user", F.size("items").alias("n"), sizing.count_unique_udf(F.col("items")).alias("clusters"))
+    return _grouped(spark, sf_dir).select("user", F.size("items").alias("n"), sizing.count_unique_udf(F.col("items")).alias("clusters"))
 
 
-@query()
+@query(f'SELECT grp AS "user", CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k FROM ({_optimal_k_sql(GROUPED_SQL, 1.0, 3, "n")})')
 def optimal_k(spark, sf_dir):
-    items = user_items(spark, sf_dir).groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda r: r["item"]).alias("items"))
-    return items.select("user", F.size("items").alias("n"), sizing.optimal_k_udf(F.col("items")).alias("k"))
+    return _grouped(spark, sf_dir).select("user", F.size("items").alias("n"), sizing.optimal_k_udf(F.col("items")).alias("k"))
 
 
 @query(f"""SELECT "user", CAST(pos AS INTEGER) AS pos, item FROM (SELECT *, count(*) OVER (PARTITION BY "user") AS n FROM ({ITEMS_SQL}))
@@ -599,6 +643,23 @@ def json_array_sample(spark, sf_dir):
     return L.sample_array(user_items(spark, sf_dir), "user", "pos", 20).where("keep").select("user", "pos", "item")
 
 
+SEARCH_OPTIONS = Options(0.6)
+
+
+def _search_sql() -> str:
+    o = SEARCH_OPTIONS
+    most = max(3, math.floor(10 * R.keep_share(o)))
+    groups = f"SELECT doc * 1000000 + file_pos AS grp, rank - 1 AS pos, line AS item FROM found WHERE total > {most}"
+    return f"""WITH found AS MATERIALIZED ({FOUND_SQL}), chosen AS MATERIALIZED ({_optimal_k_sql(groups, R.bias(o), 3, str(most))}),
+sized AS (SELECT f.*, coalesce(c.k, f.total) AS k FROM found f LEFT JOIN chosen c ON c.grp = f.doc * 1000000 + f.file_pos)
+SELECT doc, file, CAST(file_pos AS INTEGER) AS file_pos, CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= k THEN line ELSE '[... ' || (total - k) || ' more matches in ' || file || ' ...]' END AS line FROM sized WHERE rank <= k + 1"""
+
+
+@query(_search_sql())
+def search_optimal(spark, sf_dir):
+    return L.compress_search(search_text(spark, sf_dir), "doc", SEARCH_OPTIONS)
+
+
 # Conversations --------------------------------------------------------------
 
 POLICY = MessagePolicy(protect_recent=2, user=False, system=True, min_tokens=20)
@@ -624,7 +685,11 @@ BRIEF = ("contentType", "compressed", "tokensBefore", "tokensAfter", "dropped",
 
 
 def _brief(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, *[F.col(f"result.{n}").alias(n) for n in BRIEF])
+    """Flat columns: what was dropped as lines of reason, number and sample, and what was done in one line."""
+    r = lambda n: F.col(f"result.{n}")
+    dropped = F.array_join(F.transform(r("dropped"), lambda d: F.concat_ws("|", d["reason"], d["count"].cast("string"), F.coalesce(d["sample"], F.lit("")))), "\n")
+    made = {"dropped": dropped, "transformsApplied": F.array_join(r("transformsApplied"), " > ")}
+    return df.select(*keys, *[made.get(n, r(n)).alias(n) for n in BRIEF])
 
 
 @query()
@@ -659,10 +724,32 @@ def compress_tool_output(spark, sf_dir):
     return _brief(C.compress(logs, tool_col="tool", fields=BRIEF), "doc", "tool")
 
 
-@query()
+JSON_OPTIONS = Options(0.6)
+
+
+def _json_sql() -> str:
+    o = JSON_OPTIONS
+    keep = R.keep_share(o)
+    dump = """'{"pos":' || pos || ',"item":"' || replace(item, '"', '\\"') || '"}'"""
+    wide = """'  {' || chr(10) || '    "pos": ' || pos || ',' || chr(10) || '    "item": "' || replace(item, '"', '\\"') || '"' || chr(10) || '  }'"""
+    dumps = f'SELECT "user" AS grp, pos, {dump} AS item FROM ({ITEMS_SQL})'
+    middle = "list_transform(range(0, slots), lambda i: head + least(n - head - tail - 1, CAST(floor(i * ((n - head - tail) / slots)) AS BIGINT)))"
+    return f"""WITH d AS MATERIALIZED ({dumps}), chosen AS (SELECT *, greatest(1, k // 2) AS head, greatest(1, k // 4) AS tail FROM ({_optimal_k_sql('SELECT * FROM d', R.bias(o), 5, f'greatest(5, floor(n * {keep!r}::DOUBLE))')})),
+places AS (SELECT *, {middle} AS middle FROM (SELECT *, greatest(0, k - head - tail) AS slots FROM chosen)),
+whole AS (SELECT grp, '[' || string_agg(item, ',' ORDER BY pos) || ']' AS text FROM d GROUP BY grp),
+pretty AS (SELECT "user" AS grp, '[' || chr(10) || string_agg({wide}, ',' || chr(10) ORDER BY pos) || chr(10) || ']' AS text FROM ({ITEMS_SQL}) GROUP BY 1),
+kept AS (SELECT d.grp, '[' || string_agg(d.item, ',' ORDER BY d.pos) || ',{{"_omitted":"' || any_value(p.n - p.k) || ' similar items omitted"}}]' AS text, max(CASE WHEN d.pos = p.head THEN d.item END) AS second
+  FROM d JOIN places p ON p.grp = d.grp WHERE d.pos < p.head OR d.pos >= p.n - p.tail OR list_contains(p.middle, d.pos) GROUP BY d.grp),
+made AS (SELECT p.grp, p.n, p.k, w.text AS before, CASE WHEN p.n > 5 THEN kept.text ELSE pretty.text END AS compressed, first.item AS first
+  FROM places p JOIN whole w ON w.grp = p.grp JOIN kept ON kept.grp = p.grp JOIN pretty ON pretty.grp = p.grp LEFT JOIN d first ON first.grp = p.grp AND first.pos = p.head)
+SELECT grp AS "user", 'json' AS "contentType", compressed, {TOK('before')} AS "tokensBefore", CAST(least({TOK('compressed')}, {TOK('before')}) AS INTEGER) AS "tokensAfter",
+  CASE WHEN n > 5 THEN 'repeated array items sampled|' || (n - k) || '|' || first ELSE '' END AS dropped, 'detector:json > ' || CASE WHEN n > 5 THEN 'json:recursiveCrush(dropped=' || (n - k) || ')' ELSE 'json:pretty' END AS "transformsApplied" FROM made"""
+
+
+@query(_json_sql())
 def json_compress(spark, sf_dir):
     rows = user_items(spark, sf_dir).groupBy("user").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "item")))).alias("text"))
-    return _brief(C.compress(rows, options=Options(0.6), fields=BRIEF), "user")
+    return _brief(C.compress(rows, options=JSON_OPTIONS, fields=BRIEF), "user")
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

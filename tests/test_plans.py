@@ -155,3 +155,21 @@ def test_training_helpers(spark):
     assert [round(r[0], 6) for r in pair.select(L.token_set_f1(F.col("a"), F.col("b"))).collect()] == [0.666667, 0.0, 0.0]
     m = L.class_metrics(spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 1)], "t int, g int"), "t", "g").first()
     assert tuple(m) == (4, 0.5, 0.5, 0.5, 0.5)
+
+
+def test_search_equals_the_reducer(spark):
+    """The relational form with the computed number of matches, put together again, against the text form."""
+    import random
+
+    rng = random.Random(4)
+    texts = {}
+    for i in range(25):
+        names = [f"src/f{k}.py" for k in range(rng.randint(1, 4))]
+        texts[i] = "\n".join(f"{rng.choice(names)}:{rng.randint(1, 900)}:{rng.choice(['total = compute(items)', 'x'])} {rng.randrange(rng.choice([2, 5000]))}" for _ in range(rng.randint(1, 90)))
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    for ratio in (0.2, 0.6, 0.9):
+        o = Options(ratio)
+        got = {}
+        for r in sorted(L.compress_search(L.explode_lines(df, "id", "text"), "id", o).collect(), key=lambda r: (r["id"], r["file_pos"], r["rank"])):
+            got.setdefault(r["id"], []).append(r["line"])
+        assert {i: "\n".join(x) for i, x in got.items()} == {i: R.reduce_search(t, o).text for i, t in texts.items()}

@@ -22,7 +22,7 @@ def test_whole_results_drop_something(spark, sf):
 
     for name in ("conversation_compress", "iterative_prose", "model_prose", "compress_tool_output", "json_compress", "segment_compress"):
         df = catalog.QUERIES[name](spark, sf)
-        assert df.where(F.size("dropped") > 0).count() > 0, name
+        assert df.where(F.expr("dropped <> ''") if name != "segment_compress" else F.size("dropped") > 0).count() > 0, name
         assert df.where("tokensAfter > tokensBefore OR compressed IS NULL").isEmpty(), name
 
 
