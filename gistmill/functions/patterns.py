@@ -25,6 +25,9 @@ SEARCH_PARTS = f"^([^{WS_SET}:]+):([0-9]+):({ANY}*){END}"
 DIFF_STARTS = ("diff --git ", "--- a/", "+++ b/", "@@ ")
 DIFF_MARKS = tuple(LINE_START + m.replace("+", "\\+") for m in DIFF_STARTS)
 CODE_LINE = "^(?:def |function |class |import |from |export |const |let |var |pub fn |fn |func |#include|public |private |protected |async )"
+#: The same for counting in a whole text: lines that are not blank, and those that begin like code.
+FULL_LINES = f"{NON_WS}[^\\n]*"
+CODE_LINES = f"(?<![^\\n])[{WS_SET.replace(chr(92) + 'n', '')}]*+{CODE_LINE[1:]}"
 HTML_DOCTYPE = f"(?i)^{WS}*<!doctype{WS}+html"
 HTML_ROOT = f"(?i)<html[{WS_SET}>]"
 HTML_TAG = f"(?i)<(?:div|span|script|style|link|meta|nav|header|footer|aside|article|section|main|p|a|img|ul|li|table)[{WS_SET}>]"

@@ -154,12 +154,11 @@ def detect(text: Column, json_test=is_json) -> Column:
     def found(kind: str, confidence: Column, metadata: Column = none) -> Column:
         return F.struct(F.lit(kind).alias("type"), F.least(F.lit(1.0), confidence).alias("confidence"), metadata.alias("metadata"))
 
-    def by_lines(rows: Column, first50: Column) -> Column:
-        raw50 = F.slice(rows, 1, 50)
+    def by_lines(b: Column, raw50: Column, first50: Column) -> Column:
         log_share = fraction(raw50, lambda x: x.rlike(P.LOG_LINE))
         search_share = fraction(F.slice(first50, 1, 30), lambda x: x.rlike(P.SEARCH_LINE))
-        full = F.filter(rows, lambda x: x.rlike(P.NON_WS))
-        code_share = fraction(full, lambda x: F.ltrim(x, F.lit(P.SPACES)).rlike(P.CODE_LINE))
+        # only this needs all lines; counting in the whole text makes no array of them
+        code_share = matches(b, P.CODE_LINES) / F.greatest(F.lit(1), matches(b, P.FULL_LINES))
         rest = let(code_share, lambda c: F.when(c > 0.2, found("code", 0.4 + c * 0.6)).otherwise(found("text", F.lit(0.5))))
         rest = let(search_share, lambda c: F.when(c > 0.3, found("search", 0.4 + c * 0.6)).otherwise(rest))
         rest = let(log_share, lambda c: F.when(c > 0.3, found("logs", 0.4 + c * 0.6)).otherwise(rest))
@@ -177,7 +176,7 @@ def detect(text: Column, json_test=is_json) -> Column:
         head, start = F.substring(b, 1, 2000), F.substring(b, 1, 3000)
         doctype, root = start.rlike(P.HTML_DOCTYPE), start.rlike(P.HTML_ROOT)
         marks = sum((F.when(head.rlike(m), 1).otherwise(0) for m in P.DIFF_MARKS), F.lit(0))
-        rest = let(F.split(b, "\n", -1), lambda rows: let(F.transform(F.slice(rows, 1, 50), trim), lambda first: by_lines(rows, first)))
+        rest = let(F.split(F.substring_index(b, "\n", 50), "\n", -1), lambda rows: let(F.transform(rows, trim), lambda first: by_lines(b, rows, first)))
 
         def by_tags(tags: Column) -> Column:
             html = F.when(doctype, 0.5).otherwise(0.0) + F.when(root, 0.3).otherwise(0.0) + F.least(F.lit(0.6), tags * 0.1)

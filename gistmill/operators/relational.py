@@ -3,7 +3,8 @@
 Each takes a DataFrame with a document id and returns rows that say what stays
 and why, for analytics at scale: windows partition by document (and template or
 file), so one pass sorts each group once; nothing is collected. Positions are
-explicit columns, as rows have no order.
+explicit columns, as rows have no order. Null texts have no rows here, and
+documents must have distinct ids.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ from gistmill.options import Options
 
 
 def explode_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, line, n): the lines of every text, from position 0."""
-    return df.select(id_col, F.posexplode(X.lines(F.col(text_col))).alias("pos", "line")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
+    """(id, pos, line, n): the lines of every text, from position 0; null texts have none.
+
+    Ids name documents: rows that share one are read as one document by all that
+    follows.
+    """
+    rows = df.select(id_col, X.lines(F.col(text_col)).alias("__lines"))
+    return rows.select(id_col, F.size("__lines").cast("long").alias("n"), F.posexplode("__lines").alias("pos", "line")).select(id_col, "pos", "line", "n")
 
 
 def _doc(id_col: str) -> Window:
@@ -269,7 +275,7 @@ def explode_turns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def eligible_messages(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, policy) -> DataFrame:
     """Adds eligible: whether the policy lets a message be reduced."""
-    after = F.row_number().over(Window.partitionBy(conv_col).orderBy(F.desc(turn_col))) - 1  # messages that come after
+    after = F.row_number().over(Window.partitionBy(conv_col).orderBy(F.desc(turn_col), role_col, text_col)) - 1  # messages that come after
     allowed = (F.lit(policy.user) | (F.col(role_col) != "user")) & (F.lit(policy.system) | (F.col(role_col) != "system"))
     return df.withColumn("eligible", (after >= max(0, policy.protect_recent)) & allowed & (X.count_tokens(F.col(text_col)) >= policy.min_tokens))
 

@@ -44,7 +44,8 @@ class Options:
     characters); ``scorer`` gives the model-based reducer the probability that a
     sentence in its context is worth keeping. Both must be picklable.
     ``progress`` is called with (percent, message, segment, type) by
-    ``segment_text``, and ``cancelled`` is asked between sentences.
+    ``segment_text``, and ``cancelled`` is asked before a model scores a text's
+    sentences. ``model`` names the counter in reports.
     """
 
     target_ratio: float = 0.3

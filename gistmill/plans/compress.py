@@ -6,6 +6,7 @@ same on batches and streams. Detection and policies are expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from functools import wraps
 
@@ -68,6 +69,10 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "detection") -> Dat
     return df.withColumn(out, X.detect(F.col(text_col)))
 
 
+#: A plan's line of an exchange; columns of that name stand elsewhere.
+_EXCHANGE = re.compile(r"(?m)^[\s:+*()\d-]*\w*Exchange\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster has slots, for per-document work on small inputs.
 
@@ -75,7 +80,7 @@ def spread(df: DataFrame) -> DataFrame:
     shuffled for nothing. So are plans with an exchange, whose partitions are
     adaptive execution's business, and streams.
     """
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if df.isStreaming or _EXCHANGE.search(df._jdf.queryExecution().executedPlan().toString()):
         return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
