@@ -100,6 +100,25 @@ def _forest(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield np.full(len(near), fp[at]), fp[near]
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of some links that connect what all of them connect: fewer than there are ends."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = up
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            keep.append(i)
+    return a[keep], b[keep]
+
+
 #: Masks of five interleaved parts of a fingerprint.
 PARTS = [sum(1 << b for b in range(p, 64, DISTANCE + 1)) for p in range(DISTANCE + 1)]
 SIGNED = [m - (1 << 64) if m >> 63 else m for m in PARTS]
@@ -121,10 +140,12 @@ def _links(key: np.ndarray, fp: np.ndarray, small: int, parts: bool = True) -> t
         if not parts:
             out += list(_forest(group))
             continue
+        found = []
         for mask in SIGNED:
             part = group & mask
             order = np.argsort(part, kind="stable")
-            out.append(_links(part[order], group[order], small, False))
+            found.append(_links(part[order], group[order], small, False))
+        out.append(_spanning(*(np.concatenate(x) for x in zip(*found, strict=True))))
     if not out:
         return fp[:0], fp[:0]
     a, b = (np.concatenate(x) for x in zip(*out, strict=True))
