@@ -695,23 +695,7 @@ def _brief(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, *[made.get(n, r(n)).alias(n) for n in BRIEF])
 
 
-def _conversation_sql() -> str:
-    picked = PICK_SQL.replace("FROM documents", "FROM long").replace("CAST(0.7 AS DOUBLE)", "CAST(0.5 AS DOUBLE)")
-    line = TRIM("regexp_replace(first, '\\s+', ' ', 'g')")
-    return f"""WITH turns AS MATERIALIZED ({TURNS_SQL}), long AS MATERIALIZED (SELECT conv_id * 1000000 + turn AS doc_id, text FROM turns WHERE NOT is_user AND tokens >= 50),
-picked AS MATERIALIZED ({picked}),
-made AS (SELECT doc_id, count(*) FILTER (NOT keep) AS gone, arg_min(sentence, idx) FILTER (NOT keep) AS first_gone, string_agg(CASE WHEN keep THEN sentence || CASE WHEN idx = last_kept THEN ''
-  WHEN contains(separator, chr(10)) THEN regexp_replace(separator, '\n{{3,}}', chr(10) || chr(10), 'g') ELSE ' ' END END, '' ORDER BY idx) AS text
-  FROM (SELECT *, max(CASE WHEN keep THEN idx END) OVER (PARTITION BY doc_id) AS last_kept FROM picked) GROUP BY doc_id),
-parts AS (SELECT t.conv_id, t.turn, t.text AS said, CASE WHEN m.gone > 0 THEN m.text ELSE t.text END AS text, coalesce(m.gone > 0, false) AS made, m.first_gone FROM turns t LEFT JOIN made m ON m.doc_id = t.conv_id * 1000000 + t.turn),
-whole AS (SELECT conv_id, count(*) AS n, count(*) FILTER (made) AS n_made, string_agg(said, chr(10) ORDER BY turn) AS before, string_agg(text, chr(10) ORDER BY turn) AS compressed, arg_min(first_gone, turn) FILTER (made) AS first FROM parts GROUP BY conv_id)
-SELECT conv_id, 'conversation' AS "contentType", compressed, {TOK('before')} AS "tokensBefore", CAST(least({TOK('compressed')}, {TOK('before')}) AS INTEGER) AS "tokensAfter",
-  array_to_string(list_filter([CASE WHEN n_made > 0 THEN 'conversation:compressed ' || n_made || ' assistant turns internally|' || n_made || '|' || CASE WHEN length({line}) > 80 THEN {line}[1:80] || '…' ELSE {line} END END,
-    CASE WHEN n > n_made THEN 'conversation:preserved ' || (n - n_made) || ' turns untouched (user turns + short turns)|' || (n - n_made) || '|' END], lambda x: x IS NOT NULL), chr(10)) AS dropped,
-  'detector:conversation > conversation:turn-aware(' || n || 'turns,' || n_made || 'compressed)' AS "transformsApplied" FROM whole"""
-
-
-@query(_conversation_sql())
+@query()
 def conversation_compress(spark, sf_dir):
     return _brief(C.compress_known(rendered(spark, sf_dir), "text", F.lit("conversation"), fields=BRIEF), "conv_id")
 
