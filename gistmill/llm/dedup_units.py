@@ -74,7 +74,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a, b in _slices(whole.column(2), 1_000_000):
+            for a, b in _slices(whole.column(2), 500_000):
                 batch = whole.slice(a, b - a)
                 found, row = [], []
                 for i, text in enumerate(batch.column(2).to_pylist()):
@@ -101,7 +101,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``first_id`` and ``first_start`` name the occurrence that stays of the
     span's first unit.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 500):
         table = cut(units(docs, id_col, text_col, min_words), "units")
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("doc").alias("doc"), F.col("start").alias("start"))
     same = table.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").drop("n")
