@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import decontam, neardup, packing, pii, quality
-from gistmill.llm._util import cut, dropping
+from gistmill.llm import decontam, neardup, packing, pii, quality, simhash
+from gistmill.llm._util import cut, dropping, small_batches
 from gistmill.llm.queries import KEY
 
 #: Some stages are no SQL (robust fits, signatures, dynamic programming); tests hold run() against a brute-force version.
@@ -26,14 +26,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest id.
 
-    Links are a Jaccard similarity of five-word shingles of 0.8 or more, not the
-    fingerprint distance of op9.
+    Links are those of op9, fingerprints at most four bits apart. Pairs that
+    this radius misses are added by an exact step after it: a Jaccard similarity
+    of five-word shingles of 0.8 or more. Groups are what both connect.
 
     Rows that share that id are one document and leave one row. Documents
     without an id stay.
     """
-    found = cut(neardup.near_duplicates(docs), "groups")
-    gone = cut(found.where("id <> component").select(F.col("id").alias("__gone")).distinct(), "gone")
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")  # rows with or without an id alike are known by their text
+    texts = docs.select(key, "text")
+    with small_batches(spark):
+        with dropping(spark):
+            linked = cut(simhash.near_duplicates(texts, "key").select("id", "component").distinct(), "linked")
+        with dropping(spark):
+            groups = cut(neardup.near_duplicates(texts, "key", known=linked).distinct(), "groups")
+    found = cut(docs.select("doc_id", key).join(groups, F.col("key") == F.col("id")).select(F.col("doc_id").alias("id"), F.col("component").alias("grp")), "found")
+    least = found.groupBy("grp").agg(F.min("id").alias("component"))
+    gone = cut(found.distinct().join(least, "grp").where("id <> component").select(F.col("id").alias("__gone")).distinct(), "gone")
     kept = _without(docs, gone)
     again = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
     if again.isEmpty():

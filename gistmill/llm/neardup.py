@@ -15,6 +15,9 @@ members that are then still in different components are paired, if their
 parity bitmaps allow it: sets differ in as many shingles as these do in bits, or
 more. Bitmaps grow with the sets, and of two the larger is folded to the smaller.
 
+Rows that another method has linked already (``known``) stay linked; pairs that
+this puts in one component need no comparison.
+
 Defined cases: texts of fewer than five words are one shingle; null and empty
 texts have the empty set and are equal to each other only; letters A-Z count as
 a-z; texts are taken whole; repeated rows and ids each keep a row; a null id
@@ -237,6 +240,20 @@ def _bitmaps_allow(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _across(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` less those within one component of ``root(vertex, root)``."""
+    of = lambda c: root.select(F.col("vertex").alias(f"v{c}"), F.col("root").alias(f"r{c}"))
+    both = pairs.join(of("a"), F.col("a") == F.col("va"), "left").join(of("b"), F.col("b") == F.col("vb"), "left")
+    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _together(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links among the sets of rows that ``known(id, component)`` puts together, a star for each component."""
+    some = cut(sets.select("id", "v").distinct().join(known.distinct(), "id").select("v", "component").distinct(), "together")
+    least = some.groupBy("component").agg(F.min("v").alias("m"))
+    return some.join(least, "component").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Of ``pairs(a, b)`` links that connect all whose whole sets have a similarity of 4/5 or more.
 
@@ -246,10 +263,7 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int = W
     near = cut(_bitmaps_allow(pairs, sets), "near")
     links = cut(_compared(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, width), "links")
     root = cut(components(links), "roots")
-    of = lambda c: root.select(F.col("vertex").alias(f"v{c}"), F.col("root").alias(f"r{c}"))
-    open_ = near.join(of("a"), F.col("a") == F.col("va"), "left").join(of("b"), F.col("b") == F.col("vb"), "left")
-    open_ = cut(open_.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "open")
-    return links.union(cut(_compared(open_, texts, width), "links"))
+    return links.union(cut(_compared(cut(_across(near, root), "open"), texts, width), "links"))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -271,14 +285,28 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, small: int = 64) -> DataFrame:
-    """(id, component): every row with the smallest id it reaches by links."""
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, small: int = 64, known: DataFrame | None = None) -> DataFrame:
+    """(id, component): every row with the smallest id it reaches by links.
+
+    ``known(id, component)`` puts rows together beforehand, all that have the
+    same id alike; rows whose id is null it says nothing of.
+    """
     spark = df.sparkSession
     texts = df.select(df[text_col].cast("string").alias("text"))
     sets = cut(shingle_sets(df, id_col, text_col, width), "sets")
+    before = before_root = None
+    if known is not None:
+        with dropping(spark):
+            before = cut(_together(sets, known), "before")
+        with dropping(spark):
+            before_root = cut(components(before), "root")
     post = cut(prefixes(texts, common_shingles(texts, small, width), width), "prefixes")
     with dropping(spark):
-        links = cut(verified(cut(candidates(post, small), "pairs"), sets, texts, width), "links")
+        pairs = cut(candidates(post, small), "pairs")
+        if before_root is not None:
+            pairs = cut(_across(pairs, before_root), "pairs")
+        links = verified(pairs, sets, texts, width)
+        links = cut(links if before is None else links.union(before), "links")
     with dropping(spark):
         root = cut(components(links), "root")
     large = cut(post.groupBy("h").agg(F.countDistinct("v").alias("count")).where(F.col("count") > small).select("h"), "large")

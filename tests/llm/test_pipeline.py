@@ -3,7 +3,8 @@
 import corpus_pipeline as C
 from gistmill.llm import packing
 from gistmill.llm.queries import QUERIES
-from test_neardup import slow_components
+from gistmill.llm.simhash import text_fingerprint
+from test_neardup import slow_components, slow_set
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,5 +55,21 @@ def test_odd_rows(spark, sf):
     assert empty.count() == 0
 
 
+def test_near_dedup_links_by_fingerprint_and_by_shingles(spark):
+    word = lambda kind, n: " ".join(f"{kind}{i}x{i * i}" for i in range(n))
+    line = lambda kind: word(kind, 11) + " "
+    rows = [
+        (5, line("p") * 200 + word("a", 40)), (9, line("p") * 200 + word("b", 40)),  # equal fingerprints, few shingles in common
+        (3, line("q") * 200 + word("c", 40)), (None, line("q") * 200 + word("d", 60)), (4, line("q") + word("d", 60)),  # 4 is linked to the row without id by shingles only
+        (7, word("e", 60)),
+    ]
+    fp = [text_fingerprint(t) for _, t in rows]
+    assert max((fp[i] ^ fp[i + 1]).bit_count() for i in (0, 2)) <= 4 < (fp[3] ^ fp[4]).bit_count()
+    sets = [slow_set(t) for _, t in rows]
+    assert max(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2)) < 0.4 and len(sets[3] & sets[4]) / len(sets[3] | sets[4]) > 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in C.simhash_dedup(spark, docs, "").collect()) == ["3", "5", "7", "None"]
+
+
 def test_names():
     assert [n for n, _ in C.STAGES] == ["quality_rules", "simhash_dedup", "decontamination", "pii_surrogates", "packing"] and C.ORACLE_SQL is None
