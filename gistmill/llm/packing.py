@@ -27,7 +27,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, masked, prefix_sum
+from gistmill.llm._util import blocks_for, cut, hash_block, id_hash, masked, prefix_sum, small_batches
 from gistmill.llm.token_counts import count_tokens
 
 RESULT = ("bucket", "bucket_len", "batch", "slot")
@@ -124,11 +124,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     file), or else estimates, a fourth of the characters.
     """
     if tokenizer is None:
-        narrow = docs.select(docs[id_col], token_estimate(docs[text_col]).alias("n_tokens"))
+        lengths = cut(docs.select(docs[id_col], token_estimate(docs[text_col]).alias("n_tokens")), "lengths")
     else:
         some = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("text"))
-        narrow = count_tokens(some, "text", tokenizer).select(F.col("__id").alias(id_col), "n_tokens")
-    return pack(cut(narrow, "lengths"), id_col, "n_tokens", buckets, budget)
+        with small_batches(docs.sparkSession, 500):  # a worker takes some 110 MB then, and its batches little in the JVM
+            narrow = count_tokens(some, "text", tokenizer, cache_size=100_000, most_bytes=500_000)
+            lengths = cut(narrow.select(F.col("__id").alias(id_col), "n_tokens"), "lengths")
+    return pack(lengths, id_col, "n_tokens", buckets, budget)
 
 
 def oracle(documents: str = "documents", buckets: int = 8, budget: int = 65_536) -> str:

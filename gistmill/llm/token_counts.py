@@ -135,9 +135,10 @@ class ByteBpe:
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def counter(path: str) -> ByteBpe:
+def counter(path: str, cache_size: int = 400_000) -> ByteBpe:
     if path not in _LOADED:
         _LOADED[path] = ByteBpe(path)
+    _LOADED[path].cache_size = cache_size
     return _LOADED[path]
 
 
@@ -155,14 +156,15 @@ def _slices(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int
 
 def count_tokens(
     df: DataFrame, text_col: str, vocabulary: str, max_tokens: int = 1024,
-    names: tuple[str, str, str] = ("n_bytes", "n_tokens", "over_limit"),
+    names: tuple[str, str, str] = ("n_bytes", "n_tokens", "over_limit"), cache_size: int = 400_000, most_bytes: int = 4_000_000,
 ) -> DataFrame:
     """Adds UTF-8 length, exact token count, and whether it is above ``max_tokens``.
 
     ``vocabulary`` is the path of a byte-level BPE in ``tokenizers`` JSON form,
     readable on every executor. The text column itself is replaced by the three
     results; a column of ``df`` that has one of their names is an error (choose
-    other ``names``).
+    other ``names``). A worker keeps the counts of some ``cache_size`` words and
+    takes texts of ``most_bytes`` at once.
     """
     kept = [f for f in df.schema.fields if f.name != text_col]
     if clash := {f.name for f in kept} & set(names):
@@ -170,9 +172,9 @@ def count_tokens(
     schema = T.StructType([*kept, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = counter(vocabulary)
+        bpe = counter(vocabulary, cache_size)
         for whole in batches:
-            for a, b in _slices(whole.column(whole.schema.get_field_index("__text"))):
+            for a, b in _slices(whole.column(whole.schema.get_field_index("__text")), most_bytes):
                 batch = whole.slice(a, b - a)
                 text = batch.column(batch.schema.get_field_index("__text"))
                 size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())

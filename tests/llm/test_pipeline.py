@@ -4,6 +4,7 @@ import corpus_pipeline as C
 from gistmill.llm import packing
 from gistmill.llm.queries import QUERIES
 from gistmill.llm.simhash import text_fingerprint
+from gistmill.llm.token_counts import count_tokens
 from test_neardup import slow_components, slow_set
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -71,5 +72,15 @@ def test_near_dedup_links_by_fingerprint_and_by_shingles(spark):
     assert sorted(str(r["doc_id"]) for r in C.simhash_dedup(spark, docs, "").collect()) == ["3", "5", "7", "None"]
 
 
+def test_packing_takes_texts_in_small_batches(spark, sf, monkeypatch):
+    limit, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(packing, "cut", lambda df, name, f=packing.cut: (seen.append(int(spark.conf.get(limit))), f(df, name))[1])
+    before = spark.conf.get(limit)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.pack_documents(docs, tokenizer=C.tokenizer()).collect()}
+    assert seen and max(seen) <= 1000 and spark.conf.get(limit) == before
+    assert got == {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs.select("doc_id", "text"), "text", C.tokenizer()).collect()}
+
+
 def test_names():
     assert [n for n, _ in C.STAGES] == ["quality_rules", "simhash_dedup", "decontamination", "pii_surrogates", "packing"] and C.ORACLE_SQL is None
