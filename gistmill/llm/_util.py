@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import itertools
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -58,6 +60,31 @@ def dropping(spark: SparkSession):
     del _MADE[began:-1]
 
 
+#: Tables that are written from one time that the driver gives memory back to the next.
+RELIEF = 8
+_CUTS = itertools.count(1)
+
+
+def relieve(spark: SparkSession) -> None:
+    """Gives back what the driver no longer needs.
+
+    Plans, broadcasts and shuffles of finished tables are garbage, but the heap
+    grows to its limit before they are collected, and freed native memory stays
+    with the process; many small jobs make much of both.
+    """
+    gc.collect()  # Python's references keep plans alive in the JVM
+    jvm = spark._jvm
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")  # the server's own class is not open to Py4J
+        given = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, given)
+    except Exception:  # noqa: BLE001 - only JDKs on glibc have it
+        pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared workspace and read it back.
 
@@ -66,6 +93,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if next(_CUTS) % RELIEF == 0:
+        relieve(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -84,3 +84,16 @@ def test_packing_takes_texts_in_small_batches(spark, sf, monkeypatch):
 
 def test_names():
     assert [n for n, _ in C.STAGES] == ["quality_rules", "simhash_dedup", "decontamination", "pii_surrogates", "packing"] and C.ORACLE_SQL is None
+
+
+def test_the_driver_gives_memory_back(spark):
+    from gistmill.llm import _util
+
+    def collected() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collected()
+    for _ in range(2 * _util.RELIEF):
+        _util.cut(spark.range(1), "one")
+    assert collected() >= before + 2
