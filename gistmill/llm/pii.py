@@ -21,7 +21,8 @@ distinct values of all documents, and of values that share one, or whose
 surrogate is a value that occurs, all but the first take their next candidate,
 until none is left. Later candidates come from larger spaces: names have more
 syllables, other values more characters from the ninth candidate on, so this
-ends however many values there are.
+ends however many values there are. A round makes candidates only for the values
+that are still open; the others stay as they are.
 
 Texts are searched once; rows with entities are written with their pieces.
 
@@ -304,18 +305,22 @@ def collisions(values: DataFrame, key: Key, max_rounds: int = 50) -> DataFrame |
     rank = F.when(_is_name(F.col("kind")), F.instr(F.lit(KINDS), F.col("kind"))).otherwise(0)
     one = values.withColumn("norm", normal(F.col("kind"), F.col("value"))).groupBy("norm").agg(F.min_by("kind", rank).alias("kind"), F.min("value").alias("value"), (F.countDistinct("kind") > 1).alias("many"))
     now = cut(one.select("norm", "kind", "value", "many", F.lit(0).alias("attempt")), "entities")
+    used, later = now.select(F.col("norm").alias("made")), []  # what no candidate may be: values that occur and, after each round, what is settled
     for _ in range(max_rounds):
         made = key.attach(now).withColumn("made", normal(F.col("kind"), surrogate(F.col("kind"), F.col("value"), F.col("attempt")))).drop("__inner", "__outer")
         made = cut(made, "made")
-        first = made.groupBy("made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
-        real = made.select(F.col("norm").alias("made"), F.lit(True).alias("real"))
-        clash = made.join(first.select("made", "first"), "made", "left").join(real, "made", "left")
-        bad = F.col("real").isNotNull() | (F.col("first").isNotNull() & (F.col("norm") != F.col("first.norm")))
-        marked = cut(clash.select("norm", "kind", "value", "many", "attempt", bad.alias("bad")), "clash")
-        if marked.where("bad").isEmpty():
-            later = marked.where("attempt > 0 OR many").select("norm", "kind", "attempt")
-            return None if later.isEmpty() else later
-        now = marked.select("norm", "kind", "value", "many", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
+        first = made.groupBy("made").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("first")).where("n > 1").drop("n")
+        held = used.join(made.select("made"), "made", "left_semi").distinct().withColumn("held", F.lit(True))
+        clash = made.join(first, "made", "left").join(held, "made", "left")
+        bad = F.col("held").isNotNull() | (F.col("first").isNotNull() & (F.col("norm") != F.col("first")))
+        marked = cut(clash.select("norm", "kind", "value", "many", "attempt", "made", bad.alias("bad")), "clash")
+        later.append(marked.where("NOT bad AND (attempt > 0 OR many)").select("norm", "kind", "attempt"))
+        open_ = marked.where("bad").select("norm", "kind", "value", "many", (F.col("attempt") + 1).alias("attempt"))
+        if open_.isEmpty():
+            whole = cut(reduce(DataFrame.unionByName, later), "later")
+            return None if whole.isEmpty() else whole
+        # a settled value has fewer attempts than any that is open, so it stays first
+        now, used = cut(open_, "open"), used.unionByName(marked.where("NOT bad").select("made"))
     raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
 
 

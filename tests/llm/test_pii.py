@@ -227,3 +227,19 @@ def test_one_very_long_text(spark):
     text = "plain words " * 100_000 + "call +1 (017) 555-7713 now" + " more" * 100_000
     got = replaced(spark, [text])[0]
     assert len(got) == len(text) and got != text and got.startswith("plain words ") and "555-7713" not in got
+
+
+def test_later_rounds_hold_only_what_is_open(spark, monkeypatch):
+    made, plain = [], pii.cut
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "made":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "cut", counted)
+    values = spark.createDataFrame([("T", "********"), *[("E", f"person{i}@host.example") for i in range(200)]], "kind string, value string")  # stars stay stars until candidates grow
+    later = pii.collisions(values, pii.Key(spark, KEY))
+    assert [tuple(r) for r in later.collect()] == [("T********", "T", pii.GROWS)]
+    assert made == [201] + [1] * pii.GROWS
